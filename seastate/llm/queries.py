@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, media, packing, tokens
+from . import langid, media, packing, secrets, simhash, tokens
+from .shared import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +18,22 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, with_ids=False)
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fps = materialize(spark, simhash.fingerprints(table(spark, sf_dir, "documents"), ["doc_id"]), "fingerprints")
+    found = simhash.near_duplicates(fps, "doc_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.encode_media(table(spark, sf_dir, "documents")))
 
@@ -31,7 +45,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     return {
         "op2_packing": op2_packing,
+        "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_language_id": op4_language_id,
+        "op8_secret_scans": op8_secret_scans,
         "op9_media_columns": op9_media_columns,
         "op10_token_counts": op10_token_counts,
     }
