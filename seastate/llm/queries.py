@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import langid, media, packing, secrets, simhash, tokens, warc
+from . import chat, langid, media, packing, secrets, simhash, tokens, warc
 from .shared import materialize
 
 
@@ -44,6 +44,11 @@ FROM f
 """
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return chat.preferences(turns, F.shiftright("conv_id", 1), F.col("conv_id").bitwiseAND(1) == 0)
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -64,6 +69,7 @@ def queries():
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_language_id": op4_language_id,
         "op5_warc": op5_warc,
+        "op6_chat_formatting": op6_chat_formatting,
         "op8_secret_scans": op8_secret_scans,
         "op9_media_columns": op9_media_columns,
         "op10_token_counts": op10_token_counts,
@@ -73,4 +79,5 @@ def queries():
 def oracle_sql():
     return {
         "op5_warc": OP5_SQL,
+        "op6_chat_formatting": chat.SQL,
     }
