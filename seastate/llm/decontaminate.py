@@ -212,6 +212,15 @@ def _occurs(run: tuple[str, ...], within: list[str]) -> bool:
     return any(tuple(within[k : k + n]) == run for k in range(len(within) - n + 1))
 
 
+def _indexes(spark, items: DataFrame, item_col: str, item_text: str, shard_chars: int):
+    """Broadcast indexes that hold all items, each about shard_chars characters."""
+    total = items.agg(F.sum(F.length(item_text))).first()[0] or 0
+    shards = max(1, -(-total // shard_chars))
+    for k in range(shards):
+        own = items.where(F.pmod(F.xxhash64(item_col, item_text), F.lit(shards)) == k).select(item_col, item_text).collect()
+        yield spark.sparkContext.broadcast(Index([tuple(r) for r in own]))
+
+
 def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_chars: int = SHARD_CHARS, keep: list[str] | None = None) -> DataFrame:
     """(id, item, passage, score, question_overlap, answer_overlap): a row for each text of df and item that leaks into it.
 
@@ -228,12 +237,8 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     kind = items.schema[item_col].dataType.simpleString()
     arrow = to_arrow_type(items.schema[item_col].dataType)
     schema = f"{fields}, `{item_col}` {kind}, passage long, score double, question_overlap double, answer_overlap double"
-    total = items.agg(F.sum(F.length(item_text))).first()[0] or 0
-    shards = max(1, -(-total // shard_chars))
     out = None
-    for k in range(shards):
-        own = items.where(F.pmod(F.xxhash64(item_col, item_text), F.lit(shards)) == k).select(item_col, item_text).collect()  # shard_chars at about
-        index = spark.sparkContext.broadcast(Index([tuple(r) for r in own]))
+    for index in _indexes(spark, items, item_col, item_text, shard_chars):
 
         def op(batches, index=index):
             for batch in batches:
@@ -245,3 +250,18 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         part = rows.mapInArrow(op, schema)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def clean(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """The rows of df, with all columns, into whose text no item leaks. Nothing is shuffled."""
+    text_batches(df.sparkSession)
+    place = df.columns.index(text_col)
+    for index in _indexes(df.sparkSession, items, item_col, item_text, shard_chars):
+
+        def op(batches, index=index):
+            for batch in batches:
+                bad = {x[0] for x in leaks(batch.column(place).to_pylist(), index.value, threshold, overlap)} if index.value.items else set()
+                yield batch.filter(pa.array([i not in bad for i in range(len(batch))], pa.bool_())) if bad else batch
+
+        df = df.mapInArrow(op, df.schema)
+    return df

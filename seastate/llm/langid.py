@@ -119,6 +119,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     At most MAX_LANGUAGES languages with some TEXTS_PER_LANGUAGE texts each (by the hash of the text, twice that in all
     at most), of each text WINDOWS_PER_TEXT windows at even distances over its whole length.
     """
+    text_batches(df.sparkSession)
     rows = df.select(df[text_col].alias("text"), df[lang_col].alias("lang")).where("text is not null and lang is not null")
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
@@ -146,8 +147,8 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     return fit(x, np.searchsorted(languages, got["lang"].to_numpy()), languages)
 
 
-def predict(df: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` with lang_pred and score (0 to 1) of each whole text.
+def predict(df: DataFrame, model: Model | None, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` with lang_pred and score (0 to 1), or other names, of each whole text.
 
     All windows count, by their number of letter-like bytes; the score is the mean probability of the predicted
     language. Null texts, texts without a letter and all texts without a model get "und" and 0. Repeated rows stay; an
@@ -171,10 +172,10 @@ def predict(df: DataFrame, model: Model | None, keep: list[str], text_col: str =
                 total = total / total.sum(axis=1, keepdims=True)
                 for i, k, s in zip(own, total.argmax(axis=1), total.max(axis=1)):
                     lang[i], score[i] = model.languages[k], min(1.0, float(s))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, *names])
 
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(op, f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(op, f"{fields}, `{names[0]}` string, `{names[1]}` double")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -187,3 +188,15 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     learn = df.where(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0)
     model = train(learn, text_col, lang_col)
     return predict(df, model, [id_col], text_col).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
+
+
+def known_language(df: DataFrame, least: float = 0.3, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of df whose text has letters and a language predicted with a score of `least` or more; all columns stay.
+
+    The model is trained on df's own labelled rows. Without labelled rows nothing can be judged and all rows stay.
+    """
+    model = train(df, text_col, lang_col)
+    if model is None:
+        return df
+    a, b = "__lang_pred", "__score"
+    return predict(df, model, df.columns, text_col, (a, b)).where((F.col(a) != UNKNOWN) & (F.col(b) >= least)).drop(a, b)

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import prepare
+
 #: Used only where the session names no folder, as in tests on one machine.
 LOCAL_FALLBACK = "file:///tmp/checkpoints/seastate"
 #: Rows of an Arrow batch that holds whole texts.
@@ -29,7 +31,7 @@ def table_path(spark: SparkSession, tag: str) -> str:
 
 def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut and a lost executor costs nothing."""
-    path = table_path(spark, tag)
+    path = table_path(prepare(spark), tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -56,6 +58,7 @@ atexit.register(release)
 
 def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     """Hold Arrow batches to a few whole texts, so that a Python worker's memory stays bounded."""
+    prepare(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))

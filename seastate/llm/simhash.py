@@ -194,3 +194,22 @@ def near_duplicates(fps: DataFrame, id_col: str, radius: int = 2) -> DataFrame:
     of = distinct.join(found, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), F.when(F.col("label").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
     of = materialize(spark, of, "of")
     return fps.join(of, "fp", "left")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, words: int = 3) -> DataFrame:
+    """The rows of df, with all columns, without all but one of each component: the one with the smallest id stays.
+
+    Of repeated rows (equal id and text) one stays. A component of null ids only keeps one row of each text.
+    """
+    spark = df.sparkSession
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = df.select(F.col(id_col).alias("id"), key.alias("h"), F.col(text_col).alias("text"))
+    fps = materialize(spark, fingerprints(rows, ["id", "h"], "text", words), "fingerprints")
+    found = near_duplicates(fps, "id", radius)
+    kept = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id", "label").agg(F.min("h").alias("h")).select("id", "h").distinct()
+    kept = materialize(spark, kept, "kept")
+    k = "__h"
+    out = df.withColumn(k, key).join(kept, F.col(id_col).eqNullSafe(kept["id"]) & (F.col(k) == kept["h"]), "left_semi")
+    if not fps.groupBy("id", "h").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates([id_col, k])
+    return out.drop(k)
