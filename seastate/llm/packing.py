@@ -7,6 +7,8 @@ their other columns, into windows. Only the short last piece of a document meets
 from __future__ import annotations
 
 import heapq
+import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -15,46 +17,68 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import text_batches
-from .tokens import CACHE_CHARS, CACHE_PIECES
+from .tokens import CACHE_CHARS, Cache, byte_alphabet
 
 #: Pieces that one packing group holds on average: enough for windows to come out even, few enough for one task.
-GROUP_PIECES = 4096
+GROUP_PIECES = 2048
 
+#: Words that a cache generation keeps.
+WORDS = 250_000
+#: The part of a window that the first try leaves free.
+SLACK = 0.0035
 #: One text of so many is cut finely.
 FILLER_EVERY = 16
 
+#: Small Latin-1 letters, then ASCII signs.
+PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
+
 
 class WordIds:
     """Ids of whole texts by a tokenizers file, as little-endian uint32 bytes; words between blanks are cached.
 
-    Exact for tokenizers that drop white space and never merge across it.
+    Exact for lower-casing byte-level tokenizers that drop white space, never merge across it and cut a word into runs of
+    letters and of signs.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.alphabet = self.tokenizer.model, byte_alphabet()
+        self.cores, self.tails = Cache(self.word, WORDS), Cache(self.any, WORDS)
         self.new, self.old = {"": b""}, {}
 
-    def encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+    def word(self, core: str) -> bytes:
+        """Ids of a run of small Latin-1 letters: one pre-token, which no normalizer changes, by the model alone."""
+        shown = core if core.isascii() else "".join(map(self.alphabet.__getitem__, core.encode()))
+        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+
+    def any(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, word: str) -> bytes:
+        """Ids of a word. A plain one (letters, then signs) is looked up by its two parts; any other goes to the tokenizer."""
+        m = PLAIN(word.lower())
+        if m is None:
+            return self.any(word)
+        return self.cores[m[1]] + self.tails[m[2]] if m[2] else self.cores[m[1]]
 
     def batch(self, texts: list[str]) -> list[bytes]:
         split = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
         words = set().union(*split)
         long = {w for w in words if len(w) > CACHE_CHARS}
         lack = words - self.new.keys() - long
-        if len(self.new) + len(lack) > CACHE_PIECES:
+        if len(self.new) + len(lack) > WORDS:
             self.new, self.old = {"": b""}, self.new
             lack = words - long - {""}
         known = self.new
         for w in lack & self.old.keys():
             known[w] = self.old[w]
-        lack = list(lack - known.keys())
-        for k in range(0, len(lack), 4096):
-            known.update(zip(lack[k : k + 4096], self.encode(lack[k : k + 4096])))
+        for w in lack - known.keys():
+            known[w] = self.encode(w)
         if long:
-            known = known | {w: self.encode([w])[0] for w in long}
+            known = known | {w: self.any(w) for w in long}
         return [b"".join(map(known.__getitem__, w)) for w in split]
 
 
@@ -130,10 +154,13 @@ def differencing(sizes: list[int], windows: int) -> list[list[int]]:
 
 
 def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Near-equal windows of at most capacity: as few as the total allows, one more whenever one is over-full."""
+    """Near-equal windows of at most capacity: about as few as the total allows, more whenever one is over-full.
+
+    The first try leaves SLACK of the capacity for the imbalance that differencing usually ends with.
+    """
     if not sizes:
         return []
-    count = -(-sum(sizes) // capacity)
+    count = -(-sum(sizes) // max(1, capacity - int(SLACK * capacity)))
     while True:
         made = differencing(sizes, count)
         worst = max(sum(sizes[i] for i in w) for w in made)

@@ -23,18 +23,18 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\
 
 
 class Cache(dict):
-    """A dict that computes what it lacks; the last two generations of at most CACHE_PIECES pieces stay."""
+    """A dict that computes what it lacks; the last two generations of at most `most` pieces stay."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = CACHE_PIECES):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
         if len(key) <= CACHE_CHARS:
-            if len(self) >= CACHE_PIECES:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[key] = value
