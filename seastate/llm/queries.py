@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import chat, decontaminate, langid, media, packing, secrets, simhash, tokens, warc
+from . import chat, decontaminate, langid, media, packing, passages, secrets, simhash, tokens, warc
 from .shared import materialize
 
 
@@ -53,6 +53,12 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preferences(turns, F.shiftright("conv_id", 1), F.col("conv_id").bitwiseAND(1) == 0)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.near_duplicate_passages(table(spark, sf_dir, "documents"))
+    listed = F.array_join(F.transform("passages", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.select("doc_id", "class_id", listed.alias("passages"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -75,6 +81,7 @@ def queries():
         "op4_language_id": op4_language_id,
         "op5_warc": op5_warc,
         "op6_chat_formatting": op6_chat_formatting,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_secret_scans": op8_secret_scans,
         "op9_media_columns": op9_media_columns,
         "op10_token_counts": op10_token_counts,
