@@ -127,14 +127,20 @@ def redact(df: DataFrame, text_col: str = "text", count_col: str | None = "n_cha
 
     Only rows with weak candidates are joined to the links; the others are done where they are read.
     """
-    found = scan(df, df.columns, text_col)
+    found = scan(df.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), ["row", "text"])  # no column of df can clash
     none = F.expr(f"cast(array() as {SPAN})")
     links = link(materialize(df.sparkSession, found.where(F.size("weak") > 0).select("h1", "h2", "base", "weak"), "weak"))
     alone = found.where(F.size("weak") == 0).withColumn("added", none)
     joined = found.where(F.size("weak") > 0).join(links, ["h1", "h2"], "left").withColumn("added", F.coalesce("added", none))
     rows = alone.unionByName(joined)
     hit = F.size("base") + F.size("added") > 0
-    new = F.when(hit, redacted(_text(text_col), F.array_sort(F.concat("base", "added")))).otherwise(F.col(text_col))
-    out = rows.withColumn("__new", new)
-    columns = [F.col("__new").alias(c) if c == text_col else F.when(hit, F.length("__new").cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == count_col else F.col(c) for c in df.columns]
-    return out.select(*columns)
+    new = F.when(hit, redacted(_text("text"), F.array_sort(F.concat("base", "added")))).otherwise(F.col("text"))
+    out = rows.withColumn("new", new).withColumn("hit", hit)
+
+    def column(c: str) -> Column:
+        if c == text_col:
+            return F.col("new").alias(c)
+        old = F.col("row").getField(c)
+        return (F.when(F.col("hit"), F.length("new").cast(df.schema[c].dataType)).otherwise(old) if c == count_col else old).alias(c)
+
+    return out.select(*map(column, df.columns))
