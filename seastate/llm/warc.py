@@ -28,6 +28,8 @@ SHARD_BYTES, FILE_BYTES, REVISIT_BYTES = 64 << 20, 16 << 20, 100
 #: Rows of the sorted metadata in one range partition, at about.
 RANGE_ROWS = 200_000
 LEVEL = 5
+#: Compressed bytes that the reader takes at once.
+STEP = 16 << 10
 #: A fixed date: archives of equal tables are equal byte for byte.
 DATE = "2024-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122's for URLs
@@ -62,13 +64,17 @@ def record(page_id, url: str | None, digest: str, payload: bytes, refers_to=None
 
 def parse(archive: bytes):
     """(headers, block) of each record of a gzip archive with a member for each record; damage raises."""
-    at = memoryview(archive)
-    while len(at):
-        d = zlib.decompressobj(31)
-        raw = d.decompress(at) + d.flush()
-        if not d.eof:
-            raise ValueError("a truncated archive")
-        at = at[len(at) - len(d.unused_data) :]
+    view, at = memoryview(archive), 0
+    while at < len(view):
+        d, parts = zlib.decompressobj(31), []
+        while not d.eof:  # by small steps, as what follows a member is copied
+            step = view[at : at + STEP]
+            if not step:
+                raise ValueError("a truncated archive")
+            parts.append(d.decompress(step))
+            at += len(step)
+        at -= len(d.unused_data)
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         first, *lines = head.decode().split("\r\n")
         if not first.startswith("WARC/"):
@@ -177,7 +183,7 @@ def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "u
 
     dealt = both.withColumn("shard", shard("null", "id", "digest")).repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "null", "id", "digest", "kind", "url")
     listed = dealt.select("shard", "null", "id", "digest", "kind", "url", "payload", "no_id", "refers_to").mapInArrow(op, "shard long, number long, name string, temporary string, records long, bytes long, sha256 string")
-    manifest = [r.asDict() for r in listed.orderBy("shard", "number").collect()]  # a row for each file
+    manifest = sorted((r.asDict() for r in listed.collect()), key=lambda f: (f["shard"], f["number"]))  # a row for each file
     fs, path = pafs.FileSystem.from_uri(folder)
     _, temp = pafs.FileSystem.from_uri(temporary)
     for f in manifest:
