@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_batches
+from .shared import kept, text_batches
 
 WINDOW, WIDTHS, FILTERS = 192, (2, 3, 4), 16
 #: Windows that are computed at once: their answers fit in a core's cache.
@@ -160,6 +160,7 @@ def predict(df: DataFrame, model: Model | None, keep: list[str], text_col: str =
     letters[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
     def op(batches):
+        kept()
         for batch in batches:
             texts = batch.column(0).to_pylist()
             lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import text_batches
+from .shared import kept, text_batches
 from .tokens import CACHE_CHARS, Cache, byte_alphabet
 
 #: Pieces that one packing group holds on average: enough for windows to come out even, few enough for one task.
@@ -82,9 +82,6 @@ class WordIds:
         return [b"".join(map(known.__getitem__, w)) for w in split]
 
 
-_ids: dict[str, WordIds] = {}
-
-
 def tokenize(df: DataFrame, path: str, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, length, doc_tokens, ids) for each piece of each whole text, end_id appended.
 
@@ -97,12 +94,11 @@ def tokenize(df: DataFrame, path: str, end_id: int, capacity: int = 4096, id_col
     kind = rows.schema["id"].dataType.simpleString()
 
     def op(batches):
-        if path not in _ids:
-            _ids[path] = WordIds(path)
+        ids_of = kept(f"ids {path}", lambda: WordIds(path)).batch
         end, small = np.array([end_id], "<u4").tobytes(), max(1, capacity // 32)
         for batch in batches:
             at, start, length, tokens, ids = [], [], [], [], []
-            for i, b in enumerate(_ids[path].batch([t or "" for t in batch.column(1).to_pylist()])):
+            for i, b in enumerate(ids_of([t or "" for t in batch.column(1).to_pylist()])):
                 b += end
                 n = len(b) // 4
                 full = n - n % capacity

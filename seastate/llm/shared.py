@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +18,23 @@ LOCAL_FALLBACK = "file:///tmp/checkpoints/seastate"
 #: Rows of an Arrow batch that holds whole texts.
 TEXT_ROWS = 1000
 
+#: What this Python worker keeps between tasks: the caches of one operator.
+_kept: dict[str, Any] = {}
+
+
+def kept(name: str = "", make: Callable[[], Any] | None = None) -> Any:
+    """The named object of this Python worker, made if it isn't there. All others go, so that workers that serve one operator after another hold the caches of one."""
+    if name not in _kept:
+        if _kept:
+            _kept.clear()
+            gc.collect()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)  # to the system, not to this process's free lists
+        if make is not None:
+            _kept[name] = make()
+    return _kept.get(name)
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .shared import materialize, text_batches
+from .shared import kept, materialize, text_batches
 
 BITS, SEED = 64, 42
 #: Shingles whose bits are counted at once.
@@ -52,6 +52,7 @@ def fingerprints(df: DataFrame, keep: list[str], text_col: str = "text", words:
     rows = df.select(F.col(text_col).alias("__text"), *keep)
 
     def op(batches):
+        kept()
         for batch in batches:
             fp = np.array([fingerprint(t, words) for t in batch.column(0).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fp)], [*keep, "fp"])
@@ -206,10 +207,10 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     rows = df.select(F.col(id_col).alias("id"), key.alias("h"), F.col(text_col).alias("text"))
     fps = materialize(spark, fingerprints(rows, ["id", "h"], "text", words), "fingerprints")
     found = near_duplicates(fps, "id", radius)
-    kept = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id", "label").agg(F.min("h").alias("h")).select("id", "h").distinct()
-    kept = materialize(spark, kept, "kept")
+    chosen = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id", "label").agg(F.min("h").alias("h")).select("id", "h").distinct()
+    chosen = materialize(spark, chosen, "chosen")
     k = "__h"
-    out = df.withColumn(k, key).join(kept, F.col(id_col).eqNullSafe(kept["id"]) & (F.col(k) == kept["h"]), "left_semi")
+    out = df.withColumn(k, key).join(chosen, F.col(id_col).eqNullSafe(chosen["id"]) & (F.col(k) == chosen["h"]), "left_semi")
     if not fps.groupBy("id", "h").count().where("count > 1").isEmpty():
         out = out.dropDuplicates([id_col, k])
     return out.drop(k)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import text_batches
+from .shared import kept, text_batches
 
 #: Pieces that a cache generation keeps, and the longest piece (characters) that it keeps.
 CACHE_PIECES, CACHE_CHARS = 400_000, 64
@@ -129,14 +129,9 @@ class MergeCounter:
         return total if total < self.UNSURE else self.segment(text)
 
 
-_counters: dict[str, MergeCounter] = {}
-
-
 def counter(path: str) -> MergeCounter:
-    """One counter for each Python worker and vocabulary."""
-    if path not in _counters:
-        _counters[path] = MergeCounter(path)
-    return _counters[path]
+    """One counter for each Python worker."""
+    return kept(f"counter {path}", lambda: MergeCounter(path))
 
 
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
