@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seastate.llm import decontaminate, langid, packing, secrets, simhash
+from seastate.llm import decontaminate, langid, packing, secrets, similar
 from seastate.llm.shared import materialize
 from seastate.session import prepare
 
@@ -20,8 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays."""
-    return simhash.keep_one(docs)
+    """One document of each component of five-word similarity 0.8 stays."""
+    return similar.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -207,10 +207,16 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     rows = df.select(F.col(id_col).alias("id"), key.alias("h"), F.col(text_col).alias("text"))
     fps = materialize(spark, fingerprints(rows, ["id", "h"], "text", words), "fingerprints")
     found = near_duplicates(fps, "id", radius)
+    return rows_kept(df, fps, found, id_col, text_col)
+
+
+def rows_kept(df: DataFrame, rows: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of df that keep_one keeps; rows: (id, h) of each row, found: with label and component_id, h being the text's XXH64."""
+    spark, key = df.sparkSession, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     chosen = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id", "label").agg(F.min("h").alias("h")).select("id", "h").distinct()
     chosen = materialize(spark, chosen, "chosen")
     k = "__h"
     out = df.withColumn(k, key).join(chosen, F.col(id_col).eqNullSafe(chosen["id"]) & (F.col(k) == chosen["h"]), "left_semi")
-    if not fps.groupBy("id", "h").count().where("count > 1").isEmpty():
+    if not rows.groupBy("id", "h").count().where("count > 1").isEmpty():
         out = out.dropDuplicates([id_col, k])
     return out.drop(k)

@@ -31,3 +31,32 @@ def test_stages(spark, tmp_path):
     assert (out.groupby("doc_id")["length"].sum() == out.groupby("doc_id")["doc_tokens"].first()).all()
     random.seed(0)
     assert simhash.fingerprint(texts[3]) == simhash.fingerprint(texts[60])
+
+
+def test_near_dedup_reaches_similarity(spark):
+    """Against all pairs of five-word shingle sets; most copies differ in more than two bits of a SimHash."""
+    r = random.Random(3)
+    texts = []
+    for k in range(40):
+        base = prose(r.choice((40, 200, 500)), 3000 + k).split()
+        texts.append(" ".join(base))
+        for _ in range(3):
+            own = list(base)
+            for at in r.sample(range(len(own)), max(1, round(len(own) * r.choice((0.002, 0.01, 0.02, 0.03))))):
+                own[at] = f"changed{r.random()}"
+            texts.append(" ".join(own))
+    texts += ["", " ", None, "a b", "A  b", texts[0]]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for t in texts)]
+    least = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for k in range(i):
+                if len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k]):
+                    least[i] = least[k] = min(least[i], least[k])
+        if all(least[least[i]] == least[i] for i in range(len(texts))):
+            break
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == {k for k, x in enumerate(least) if k == x}
+    old = {x["doc_id"] for x in simhash.keep_one(docs).collect()}
+    assert len(old) > len(kept)
