@@ -288,3 +288,15 @@ def test_passages(spark, odd, none, monkeypatch):
         assert s <= 80 + k <= s + 12 and 80 + k + 48 <= e <= 80 + k + 72
     assert passages.near_duplicate_passages(none).count() == 0
     assert passages.near_duplicate_passages(odd).count() >= 2
+
+
+def test_passages_after_a_repeated_line(spark):
+    """A shared passage holds a run of words that stands earlier in both texts."""
+    rows = []
+    for k in range(60):
+        line = prose(35, 7000 + k)
+        passage = f"{prose(8, 7100 + k)} {line} {prose(8, 7200 + k)}"
+        for i in range(2):
+            rows.append((2 * k + i, " ".join([prose(60, 8000 + 4 * k + i), line, prose(60, 9000 + 4 * k + i), passage, prose(60, 10000 + 4 * k + i)])))
+    got = passages.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["doc_id"] for x in got} == set(range(120)) and all(x["class_id"] == x["doc_id"] // 2 * 2 for x in got)
