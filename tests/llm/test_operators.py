@@ -300,3 +300,36 @@ def test_passages_after_a_repeated_line(spark):
             rows.append((2 * k + i, " ".join([prose(60, 8000 + 4 * k + i), line, prose(60, 9000 + 4 * k + i), passage, prose(60, 10000 + 4 * k + i)])))
     got = passages.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {x["doc_id"] for x in got} == set(range(120)) and all(x["class_id"] == x["doc_id"] // 2 * 2 for x in got)
+
+
+def test_alike_tries_every_run(monkeypatch):
+    """Against all pairs of runs; the first run with the most hits has its tokens scattered over the other text."""
+    least, rng = 10, np.random.default_rng(4)
+    cases = []
+    for _ in range(60):
+        x, y = (rng.integers(0, n, 40).astype(np.int64) for n in rng.integers(4, 40, 2))
+        at = rng.integers(0, 25)
+        y[at : at + 12] = x[5:17]
+        y[rng.integers(0, 40, 3)] = 99
+        cases.append((x, y))
+    a, b = np.arange(10), np.arange(100, 110)
+    fill = lambda k: np.arange(1000 * k, 1000 * k + 15)
+    cases.append((np.concatenate([a, fill(2), b]), np.concatenate([fill(3), b, *(np.append(fill(4 + k), k) for k in a)])))
+    for block in (3, 1024):
+        monkeypatch.setattr(passages, "BLOCK", block)
+        for x, y in cases:
+            good = set(), set()
+            for i in range(len(x) - least + 1):
+                for k in range(len(y) - least + 1):
+                    p, q = set(x[i : i + least].tolist()), set(y[k : k + least].tolist())
+                    if len(p & q) >= 0.8 * len(p | q):
+                        good[0].add(i), good[1].add(k)
+            assert passages.alike(x, y, least, 0.8) == tuple(passages.spans(np.array(sorted(g), int), least) for g in good)
+    assert good[0]  # the planted one: lost if only the first best run is compared
+
+
+def test_regions_hold_every_overlap():
+    """Windows of two hash functions overlap with a shorter one of a third between them, and over a bin of diagonals."""
+    rows = [(0, [0, 30, 60], [0, 30, 60]), (1, [5, 20, 25], [200, 210, 220]), (2, [10, 35, 70], [3, 43, 68])]
+    assert list(passages.regions(rows, 47, 2)) == [(0, 71, 0, 69)]
+    assert list(passages.regions(rows[:2], 47, 2)) == []
