@@ -134,7 +134,15 @@ def unique_times(frame: SpectraFrame, time: str, order: list[str], keys: list[st
 
 
 def combine_first(first: SpectraFrame, second: SpectraFrame, keys: list[str]) -> SpectraFrame:
-    """All spectra of the first frame, and those of the second whose keys it lacks."""
+    """The spectra of both frames by their keys; what the first one lacks (rows, null columns, null or NaN bins) comes from the second."""
     if first.grid != second.grid:
         raise ValueError("the grids differ")
-    return first.with_df(first.df.unionByName(second.df.join(first.df.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True))
+    a, b = first.df.alias("a"), second.df.alias("b")
+    both = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "full")
+    known = lambda x: F.when(x.isNotNull() & ~F.isnan(x), x)
+    bins = F.zip_with(F.col(f"a.{EFTH}"), F.col(f"b.{EFTH}"), lambda x, y: F.coalesce(known(x), y, x))
+    out = []
+    for c in dict.fromkeys([*first.df.columns, *second.df.columns]):
+        sides = [F.col(f"{n}.{c}") for n, d in (("a", first.df), ("b", second.df)) if c in d.columns]
+        out.append(F.coalesce(*([bins] if c == EFTH else []), *sides).alias(c))
+    return first.with_df(both.select(*out))

@@ -356,12 +356,11 @@ def unique_times(spark, sf):
     return SE.unique_times(SpectraFrame(df, Grid((0.1,))), "user_id", ["ts", "event_id"]).df.select("event_id", "user_id")
 
 
-@query("combine_first", "SELECT vec_id, CAST(1 AS INT) AS origin FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id, 2 FROM embeddings WHERE vec_id % 2 = 0 AND vec_id % 3 <> 0")
+@query("combine_first", "SELECT vec_id * 2 AS vec_id, CAST(1 AS INT) AS origin FROM embeddings UNION ALL SELECT vec_id * 3, 2 FROM embeddings WHERE vec_id * 3 NOT IN (SELECT vec_id * 2 FROM embeddings)")
 def combine_first(spark, sf):
     fr = D.embeddings(spark, sf)
-    a = fr.with_df(fr.df.where("vec_id % 3 = 0").withColumn("origin", F.lit(1)))
-    b = fr.with_df(fr.df.where("vec_id % 2 = 0").withColumn("origin", F.lit(2)))
-    return SE.combine_first(a, b, ["vec_id"]).df.select("vec_id", "origin")
+    own = lambda n, k: fr.with_df(fr.df.withColumn("vec_id", F.col("vec_id") * k).withColumn("origin", F.lit(n)))
+    return SE.combine_first(own(1, 2), own(2, 3), ["vec_id"]).df.select("vec_id", "origin")
 
 
 # Scalar functions over the events.
@@ -374,18 +373,25 @@ def scalar(name: str, spark_columns: Callable[[], dict], sql_columns: dict[str,
     _sql[name] = "SELECT event_id, " + ", ".join(f"round({v}, 6) + 0.0 AS {n}" for n, v in sql_columns.items()) + " FROM (SELECT *, value + 0.5 AS x, CAST(event_id * 37 % 360 AS DOUBLE) AS d FROM events)"
 
 
-_X, _DEG = F.col("value") + 0.5, F.pmod(F.col("event_id") * 37, F.lit(360)).cast("double")
+def _x():
+    return F.col("value") + 0.5
+
+
+def _deg():
+    return F.pmod(F.col("event_id") * 37, F.lit(360)).cast("double")
+
+
 _Y = "(0.10194 * pow(2 * pi() * (0.05 + x / 500), 2) * 20.0)"
 _K = f"({_Y} * sqrt(1 + 1 / ({_Y} * (1 + 0.6522 * {_Y} + 0.4622 * pow({_Y}, 2) + 0.0864 * pow({_Y}, 4) + 0.0675 * pow({_Y}, 5)))) / 20.0)"
-scalar("uv_to_spddir", lambda: dict(zip(("spd", "direc"), S.uv_to_spddir(_X - 30, _X * 0.5 - 20, True))), {"spd": "sqrt(pow(x - 30, 2) + pow(x * 0.5 - 20, 2))", "direc": "fmod(270 - degrees(atan2(x * 0.5 - 20, x - 30)) + 360, 360)"})
-scalar("spddir_to_uv", lambda: dict(zip(("u", "v"), S.spddir_to_uv(_X, _DEG, True))), {"u": "x * sin(radians(d + 180))", "v": "x * cos(radians(d + 180))"})
-scalar("angle", lambda: {"angle": S.angle(_DEG, F.lit(300.0))}, {"angle": "least(fmod(abs(d - 300), 360), 360 - fmod(abs(d - 300), 360))"})
-scalar("to_nautical", lambda: {"nautical": S.to_nautical(_DEG)}, {"nautical": "fmod(270 - d + 360, 360)"})
-scalar("wavenumber", lambda: {"deep": S.wavenumber(0.05 + _X / 500), "shallow": S.wavenumber(0.05 + _X / 500, 20.0)}, {"deep": "2 * pi() * pow(0.05 + x / 500, 2) / 1.56", "shallow": _K})
-scalar("wavelen", lambda: {"deep": S.wavelength(0.05 + _X / 500), "shallow": S.wavelength(0.05 + _X / 500, 20.0)}, {"deep": "1.56 / pow(0.05 + x / 500, 2)", "shallow": f"2 * pi() / {_K}"})
-scalar("celerity", lambda: {"deep": S.celerity(0.05 + _X / 500), "shallow": S.celerity(0.05 + _X / 500, 20.0)}, {"deep": "1.56 / (0.05 + x / 500)", "shallow": f"2 * pi() * (0.05 + x / 500) / {_K}"})
-scalar("dfp", lambda: {"wsea": S.dfp_wsea(10.0, 0.1 + _X / 1000, 3600.0), "swell": S.dfp_swell(_X * 60)}, {"wsea": "15.8 * pow(9.81 / 10, 0.57) * pow(pow((0.1 + x / 1000) / (15.8 * pow(9.81 / 10, 0.57)), -1 / 0.43) + 3600, -0.43) - (0.1 + x / 1000)", "swell": "x * 60 * 9.81 / (4 * pi() * 1e6)"})
-scalar("station_direction", lambda: {"dir": S.station_direction(F.radians(_DEG))}, {"dir": "fmod(degrees(fmod(radians(d) - 2.5 * pi() + 4 * pi(), 2 * pi())) + 270, 360)"})
+scalar("uv_to_spddir", lambda: dict(zip(("spd", "direc"), S.uv_to_spddir(_x() - 30, _x() * 0.5 - 20, True))), {"spd": "sqrt(pow(x - 30, 2) + pow(x * 0.5 - 20, 2))", "direc": "fmod(270 - degrees(atan2(x * 0.5 - 20, x - 30)) + 360, 360)"})
+scalar("spddir_to_uv", lambda: dict(zip(("u", "v"), S.spddir_to_uv(_x(), _deg(), True))), {"u": "x * sin(radians(d + 180))", "v": "x * cos(radians(d + 180))"})
+scalar("angle", lambda: {"angle": S.angle(_deg(), F.lit(300.0))}, {"angle": "least(fmod(abs(d - 300), 360), 360 - fmod(abs(d - 300), 360))"})
+scalar("to_nautical", lambda: {"nautical": S.to_nautical(_deg())}, {"nautical": "fmod(270 - d + 360, 360)"})
+scalar("wavenumber", lambda: {"deep": S.wavenumber(0.05 + _x() / 500), "shallow": S.wavenumber(0.05 + _x() / 500, 20.0)}, {"deep": "2 * pi() * pow(0.05 + x / 500, 2) / 1.56", "shallow": _K})
+scalar("wavelen", lambda: {"deep": S.wavelength(0.05 + _x() / 500), "shallow": S.wavelength(0.05 + _x() / 500, 20.0)}, {"deep": "1.56 / pow(0.05 + x / 500, 2)", "shallow": f"2 * pi() / {_K}"})
+scalar("celerity", lambda: {"deep": S.celerity(0.05 + _x() / 500), "shallow": S.celerity(0.05 + _x() / 500, 20.0)}, {"deep": "1.56 / (0.05 + x / 500)", "shallow": f"2 * pi() * (0.05 + x / 500) / {_K}"})
+scalar("dfp", lambda: {"wsea": S.dfp_wsea(10.0, 0.1 + _x() / 1000, 3600.0), "swell": S.dfp_swell(_x() * 60)}, {"wsea": "15.8 * pow(9.81 / 10, 0.57) * pow(pow((0.1 + x / 1000) / (15.8 * pow(9.81 / 10, 0.57)), -1 / 0.43) + 3600, -0.43) - (0.1 + x / 1000)", "swell": "x * 60 * 9.81 / (4 * pi() * 1e6)"})
+scalar("station_direction", lambda: {"dir": S.station_direction(F.radians(_deg()))}, {"dir": "fmod(degrees(fmod(radians(d) - 2.5 * pi() + 4 * pi(), 2 * pi())) + 270, 360)"})
 
 
 # Algorithms that SQL doesn't express; tests hold them against invariants and plain versions.
