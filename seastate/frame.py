@@ -70,8 +70,8 @@ class SpectraFrame:
 
         return self.with_df(self.df.mapInArrow(run, self.df.schema), new)
 
-    def explode_parts(self, op: Callable[[np.ndarray, dict[str, np.ndarray]], list[list[np.ndarray]]], reads: tuple[str, ...] = (), name: str = "part") -> "SpectraFrame":
-        """A row for each part that a numpy function gives for each spectrum, numbered from 0."""
+    def explode_parts(self, op: Callable[[np.ndarray, dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]], reads: tuple[str, ...] = (), name: str = "part") -> "SpectraFrame":
+        """A row for each part, numbered from 0; a numpy function gives the number of parts of each spectrum of a block and all parts in order."""
         g, names = self.grid, [c for c in self.df.columns if c != name]
         rows = self.df.select(*names)
         schema = T.StructType([*(rows.schema[c] for c in names if c != EFTH), T.StructField(name, T.IntegerType()), T.StructField(EFTH, T.ArrayType(T.DoubleType()))])
@@ -81,11 +81,10 @@ class SpectraFrame:
             for b in batches:
                 block = unpack(b.column(names.index(EFTH)), g)
                 extra = {c: b.column(names.index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in reads}
-                parts = op(block, extra)
-                at = pa.array(np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
-                number = pa.array(np.concatenate([np.arange(len(p)) for p in parts]) if parts else np.zeros(0), pa.int32())
-                flat = np.array([x for p in parts for x in p]).reshape(-1, g.nf, g.nd)
-                yield pa.RecordBatch.from_arrays([*(b.column(names.index(c)).take(at) for c in names if c != EFTH), number, pack(flat)], [*(c for c in names if c != EFTH), name, EFTH])
+                sizes, parts = op(block, extra)
+                rows = np.repeat(np.arange(len(sizes)), sizes)
+                at, number = pa.array(rows), pa.array(np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes), pa.int32())
+                yield pa.RecordBatch.from_arrays([*(b.column(names.index(c)).take(at) for c in names if c != EFTH), number, pack(parts)], [*(c for c in names if c != EFTH), name, EFTH])
 
         return self.with_df(rows.mapInArrow(run, schema))
 

@@ -15,23 +15,16 @@ from . import watershed as W
 IHMAX, ANGLE_MAX, HS_MIN, KAPPA, ZETA, SWELLS, WINDOW, WSCUT, AGEFAC = 100, 30.0, 0.2, 0.4, 0.65, 3, 3, 0.3333, 1.7
 
 
-def _kernel(frame: SpectraFrame, one, wind: tuple[str, str, str] | None, agefac: float, strict: bool, smooth: bool, freq_window: int, dir_window: int) -> SpectraFrame:
-    """Parts of each spectrum by one(x, shape, grid, mask). Directions are sorted first. A row without wind has an empty mask."""
+def _kernel(frame: SpectraFrame, method, wind: tuple[str, str, str] | None, agefac: float, strict: bool, smooth: bool, freq_window: int, dir_window: int) -> SpectraFrame:
+    """Parts of all spectra of a batch by method(x, shape, grid, mask). Directions are sorted first. A row without wind has an empty mask."""
     frame = SH.sort_dirs(frame)
     g = frame.grid.directional()
 
     def op(block: np.ndarray, extra: dict[str, np.ndarray]):
         block = np.nan_to_num(block)
         shapes = SH.smooth_block(block, g, freq_window, dir_window) if smooth else block
-        out = []
-        for k, (x, s) in enumerate(zip(block, shapes)):
-            mask = None
-            if wind:
-                wspd, wdir = extra[wind[0]][k], extra[wind[1]][k]
-                known = not (np.isnan(wspd) or np.isnan(wdir))
-                mask = W.wind_mask(g, wspd, wdir, extra[wind[2]][k] if wind[2] in extra else None, agefac, strict) if known else np.zeros(x.shape, bool)
-            out.append(one(x, s, g, mask))
-        return out
+        mask = W.wind_masks(g, extra[wind[0]], extra[wind[1]], extra.get(wind[2]), agefac, strict) if wind else None
+        return method(block, shapes, g, mask)
 
     return frame.explode_parts(op, tuple(c for c in wind or () if c in frame.df.columns))
 
@@ -122,7 +115,7 @@ def merge_parts(frame: SpectraFrame, keys: list[str], method: str = "sum") -> Sp
 def count_parts(frame: SpectraFrame, ihmax: int = IHMAX) -> int:
     """The largest number of parts of any spectrum, 1 at least."""
     g = frame.grid
-    counted = frame.apply(lambda x, _: np.array([np.full(s.shape, W.watershed(np.nan_to_num(s), ihmax).max(), float) for s in x]).reshape(-1, g.nf, g.nd))
+    counted = frame.apply(lambda x, _: np.broadcast_to(W.watersheds(np.nan_to_num(x), ihmax).max(axis=(1, 2), initial=0)[:, None, None].astype(float), x.shape))
     return max(1, int(counted.df.agg(F.max(F.get(F.col(EFTH), F.lit(0)))).first()[0] or 0))
 
 
