@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import kept, text_batches
+from .shared import kept, pieces, text_batches
 
 K1, B = 1.2, 0.75
 #: The part of its own score that an item must get from a passage.
@@ -242,7 +242,7 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
         def op(batches, index=index):
             kept()
-            for batch in batches:
+            for batch in pieces(batches):
                 found = list(leaks(batch.column(0).to_pylist(), index.value, threshold, overlap)) if index.value.items else []
                 columns = list(zip(*found)) or [()] * 6
                 at = pa.array(columns[0], pa.int64())
@@ -261,7 +261,7 @@ def clean(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str
 
         def op(batches, index=index):
             kept()
-            for batch in batches:
+            for batch in pieces(batches, place):
                 bad = {x[0] for x in leaks(batch.column(place).to_pylist(), index.value, threshold, overlap)} if index.value.items else set()
                 yield batch.filter(pa.array([i not in bad for i in range(len(batch))], pa.bool_())) if bad else batch
 

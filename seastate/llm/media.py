@@ -14,14 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import text_batches
+from .shared import pieces, text_batches
 
 WIDTH, HEIGHT, FPS = 16, 12, 24
 SAMPLES = WIDTH * HEIGHT
 #: Huffman code lengths of the difference categories 0 to 8; the all-ones code stays free, as T.81 asks.
 CODE_LENGTHS = [4, 4, 4, 4, 3, 3, 2, 3, 4]
-#: Frames that are coded or decoded in step at most.
-STEP_FRAMES = 20_000
+#: Frames that are coded or decoded in step at most, and bytes of texts or media that are taken up at once.
+STEP_FRAMES, MEDIA_BYTES = 5_000, 1 << 20
 
 
 def huffman(lengths: list[int]) -> tuple[bytes, dict[int, tuple[int, int]]]:
@@ -229,13 +229,21 @@ def shots(change: np.ndarray, span: int = 12, factor: float = 2.0, floor: int =
     return np.concatenate([[0], np.flatnonzero((c > floor) & (c > mean + factor * deviation) & (k > 0))])
 
 
+CLIPS = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int64())]))
+
+
+def timed(cuts: list[int], n: int, fps: float) -> list[dict]:
+    """The clips between the first frames of shots, of n frames."""
+    return [{"start_s": a / fps, "end_s": b / fps, "frames": b - a} for a, b in zip(cuts, [*cuts[1:], n])]
+
+
 def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, media): each whole text as an AVI file. Null and empty texts make one blank frame; repeated rows and null ids are kept; an empty table gives no rows."""
-    text_batches(df.sparkSession)
+    text_batches(df.sparkSession, size=MEDIA_BYTES)
     rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
 
     def op(batches):
-        for batch in batches:
+        for batch in pieces(batches, 1, MEDIA_BYTES):
             made = [payload(t) for t in batch.column(1).to_pylist()]
             images = encode_frames(np.frombuffer(b"".join(p for p, _ in made), np.uint8).reshape(-1, SAMPLES))
             media, at = [], 0
@@ -257,30 +265,31 @@ def _decoded(media: list[bytes | None]):
 
 
 def media_features(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of each AVI file, decoded.
+    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, clips) of each AVI file, decoded.
 
     feature: "frames=F;mean=M;shots=S;cuts=i,j,..." with the mean sample rounded down and the first frame of each later shot.
-    Null media gives zero counts and the digests of no bytes; damaged media raises.
+    clips: (start_s, end_s, frames) of each shot. Null media gives zero counts, the digests of no bytes and no clips;
+    damaged media raises.
     """
     rows = df.select(df[id_col].alias("id"), df[media_col].alias("media"))
 
     def op(batches):
-        for batch in batches:
+        for batch in pieces(batches, 1, MEDIA_BYTES):
             media = batch.column(1).to_pylist()
             out = []
-            for m, (frames, n_bytes, _) in zip(media, _decoded(media)):
+            for m, (frames, n_bytes, fps) in zip(media, _decoded(media)):
                 raw = frames.tobytes()
                 cuts = shots(changes(frames)).tolist()
                 mean = int(frames.sum(dtype=np.int64)) // max(1, frames.size)
                 feature = f"frames={len(frames)};mean={mean};shots={len(cuts)};cuts={','.join(map(str, cuts[1:]))}"
                 m = m or b""
-                out.append((n_bytes, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature))
-            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                out.append((n_bytes, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature, timed(cuts, len(frames), fps)))
+            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), CLIPS]
             columns = list(zip(*out)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], [id_col, *names])
 
-    return rows.mapInArrow(op, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return rows.mapInArrow(op, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips array<struct<start_s: double, end_s: double, frames: long>>")
 
 
 def clips(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -288,12 +297,11 @@ def clips(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> Da
     rows = df.select(df[id_col].alias("id"), df[media_col].alias("media"))
 
     def op(batches):
-        for batch in batches:
+        for batch in pieces(batches, 1, MEDIA_BYTES):
             at, clip, start, end, count = [], [], [], [], []
             for i, (frames, _, fps) in enumerate(_decoded(batch.column(1).to_pylist())):
-                cuts = [*shots(changes(frames)).tolist(), len(frames)] if len(frames) else []
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    at.append(i), clip.append(k), start.append(a / fps), end.append(b / fps), count.append(b - a)
+                for k, shot in enumerate(timed(shots(changes(frames)).tolist(), len(frames), fps)):
+                    at.append(i), clip.append(k), start.append(shot["start_s"]), end.append(shot["end_s"]), count.append(shot["frames"])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(clip, pa.int32()), pa.array(start, pa.float64()), pa.array(end, pa.float64()), pa.array(count, pa.int64())], [id_col, "clip", "start_s", "end_s", "frames"])
 
     return rows.mapInArrow(op, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, clip int, start_s double, end_s double, frames long")

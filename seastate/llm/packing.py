@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import kept, text_batches
+from .shared import kept, pieces, text_batches
 from .tokens import CACHE_CHARS, Cache, byte_alphabet
 
 #: Pieces that one packing group holds on average: enough for windows to come out even, few enough for one task.
@@ -96,7 +96,7 @@ def tokenize(df: DataFrame, path: str, end_id: int, capacity: int = 4096, id_col
     def op(batches):
         ids_of = kept(f"ids {path}", lambda: WordIds(path)).batch
         end, small = np.array([end_id], "<u4").tobytes(), max(1, capacity // 32)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             at, start, length, tokens, ids = [], [], [], [], []
             for i, b in enumerate(ids_of([t or "" for t in batch.column(1).to_pylist()])):
                 b += end

@@ -5,18 +5,22 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
 
 #: Used only where the session names no folder, as in tests on one machine.
 LOCAL_FALLBACK = "file:///tmp/checkpoints/seastate"
-#: Rows of an Arrow batch that holds whole texts.
-TEXT_ROWS = 1000
+#: Rows and bytes of an Arrow batch that holds whole texts; a longer text has a batch of its own.
+TEXT_ROWS, TEXT_BYTES = 1000, 4 << 20
 
 #: What this Python worker keeps between tasks: the caches of one operator.
 _kept: dict[str, Any] = {}
@@ -39,8 +43,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK).rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset, a local one if driver and executors are one process, else an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or LOCAL_FALLBACK).rstrip("/")
 
 
 def table_path(spark: SparkSession, tag: str) -> str:
@@ -64,22 +71,43 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that materialize() has written and that nothing reads any more."""
+    for table in tables:
+        for path in {f.rsplit("/", 2)[0] for f in table.inputFiles()}:
+            if (spark, path) in _written:
+                _written.remove((spark, path))
+                remove(spark, path)
+
+
 def release() -> None:
-    """Delete all tables that materialize() has written in this process."""
+    """Delete all tables that materialize() has written in this process and that are still there."""
     while _written:
         spark, path = _written.pop()
         try:
             remove(spark, path)
-        except Exception:  # the session has ended; the folder's owner cleans up
-            return
+        except Exception:  # this session has ended; its folder's owner cleans up
+            continue
 
 
 atexit.register(release)
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Hold Arrow batches to a few whole texts, so that a Python worker's memory stays bounded."""
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS, size: int = TEXT_BYTES) -> None:
+    """Hold Arrow batches to a few whole texts, by rows and by bytes, so that a Python worker's memory stays bounded. Both stay set in the session, as plans read them when they run."""
     prepare(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        if not 0 < int(spark.conf.get(key).removesuffix("b")) <= most:
+            spark.conf.set(key, str(most))
+
+
+def pieces(batches: Iterable[pa.RecordBatch], column: int = 0, most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose values of one string or binary column have at most so many bytes, or of one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(batch) or at == len(batch) == 0:
+            done = int(ends[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end

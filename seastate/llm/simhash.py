@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .shared import kept, materialize, text_batches
+from .shared import kept, materialize, pieces, text_batches
 
 BITS, SEED = 64, 42
 #: Shingles whose bits are counted at once.
@@ -53,7 +53,7 @@ def fingerprints(df: DataFrame, keep: list[str], text_col: str = "text", words:
 
     def op(batches):
         kept()
-        for batch in batches:
+        for batch in pieces(batches):
             fp = np.array([fingerprint(t, words) for t in batch.column(0).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fp)], [*keep, "fp"])
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import graph
 from .passages import mix
-from .shared import kept, materialize, text_batches
+from .shared import kept, materialize, pieces, text_batches
 from .simhash import SEED, rows_kept
 
 WORDS, SIMILARITY = 5, 0.8
@@ -111,7 +111,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
     def op(batches):
         kept()
-        for batch in batches:
+        for batch in pieces(batches, 2):
             keys = [band_keys(shingle_set(t, words)).view(np.int64) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.list_(pa.int64()))], ["id", "h", "keys"])
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import kept, text_batches
+from .shared import kept, pieces, text_batches
 
 #: Pieces that a cache generation keeps, and the longest piece (characters) that it keeps.
 CACHE_PIECES, CACHE_CHARS = 400_000, 64
@@ -148,7 +148,7 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def op(batches):
         count = counter(path).count
-        for batch in batches:
+        for batch in pieces(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             tokens = np.fromiter(map(count, texts), np.int64, len(texts))
             sizes = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
