@@ -14,14 +14,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .shared import kept, text_batches
+from .shared import kept, pieces, text_batches
 
 WINDOW, WIDTHS, FILTERS = 192, (2, 3, 4), 16
 #: Windows that are computed at once: their answers fit in a core's cache.
 BLOCK = 96
 #: The training sample's bounds: languages (most frequent first), texts of each, windows of each text.
-MAX_LANGUAGES, TEXTS_PER_LANGUAGE, WINDOWS_PER_TEXT = 128, 1200, 3
+TEXTS_PER_LANGUAGE, MOST_TEXTS, WINDOWS_PER_TEXT = 1200, 150_000, 3
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 
@@ -116,16 +117,19 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 8, rat
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model from a bounded sample of the rows of df that have a text and a language; None if there are none.
 
-    At most MAX_LANGUAGES languages with some TEXTS_PER_LANGUAGE texts each (by the hash of the text, twice that in all
-    at most), of each text WINDOWS_PER_TEXT windows at even distances over its whole length.
+    Of each language at most TEXTS_PER_LANGUAGE distinct texts, those of the least hashes (fewer if MOST_TEXTS don't hold
+    as many of all languages); of each text WINDOWS_PER_TEXT windows at even distances over its whole length.
     """
     text_batches(df.sparkSession)
     rows = df.select(df[text_col].alias("text"), df[lang_col].alias("lang")).where("text is not null and lang is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return None
-    share = F.create_map([F.lit(v) for r in counts for v in (r["lang"], min(1.0, TEXTS_PER_LANGUAGE / r["count"]))])
+    texts = max(1, min(TEXTS_PER_LANGUAGE, MOST_TEXTS // len(counts)))
+    # twice as many rows as wanted, by the hash of the text; of their distinct texts those of least hash
+    share = F.create_map([F.lit(v) for r in counts for v in (r["lang"], min(1.0, 2 * texts / r["count"]))])
     sample = rows.withColumn("h", F.xxhash64("text", F.lit(5))).where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    sample = sample.dropDuplicates(["lang", "h"]).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= texts)
 
     def op(batches):
         for batch in batches:
@@ -137,8 +141,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
                         lang.append(name), out.append(w[k].tobytes()), key.append(h)
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(out, pa.binary()), pa.array(key, pa.int64())], ["lang", "x", "h"])
 
-    most = 2 * TEXTS_PER_LANGUAGE * len(counts) * WINDOWS_PER_TEXT
-    got = sample.select("text", "lang", "h").mapInArrow(op, "lang string, x binary, h long").limit(most).toPandas()
+    got = sample.select("text", "lang", "h").mapInArrow(op, "lang string, x binary, h long").toPandas()
     if got.empty:
         return None
     got = got.sort_values(["h", "lang", "x"])
@@ -155,25 +158,27 @@ def predict(df: DataFrame, model: Model | None, keep: list[str], text_col: str =
     empty table gives no rows.
     """
     text_batches(df.sparkSession)
-    rows = df.select(df[text_col].alias("__text"), *(df[c] for c in keep))
+    own = text_col in keep
+    rows = df.select(*(() if own else (df[text_col],)), *(df[c] for c in keep))
+    place = keep.index(text_col) if own else 0
     letters = np.zeros(256, np.float32)
     letters[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
     def op(batches):
         kept()
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
+        for batch in pieces(batches, place):
+            texts = batch.column(place).to_pylist()
             lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            own = [i for i, t in enumerate(texts) if model is not None and t and LETTER.search(t)]
-            if own:
-                parts = [windows(texts[i].encode()) for i in own]
+            some = [i for i, t in enumerate(texts) if model is not None and t and LETTER.search(t)]
+            if some:
+                parts = [windows(texts[i].encode()) for i in some]
                 x = np.concatenate(parts)
                 p = model.probabilities(x) * (np.take(letters, x).sum(axis=1) + 1e-3)[:, None]
                 total = np.add.reduceat(p, np.cumsum([0, *map(len, parts)])[:-1], axis=0)
                 total = total / total.sum(axis=1, keepdims=True)
-                for i, k, s in zip(own, total.argmax(axis=1), total.max(axis=1)):
+                for i, k, s in zip(some, total.argmax(axis=1), total.max(axis=1)):
                     lang[i], score[i] = model.languages[k], min(1.0, float(s))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[0 if own else 1 :], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, *names])
 
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(op, f"{fields}, `{names[0]}` string, `{names[1]}` double")
@@ -199,5 +204,5 @@ def known_language(df: DataFrame, least: float = 0.3, text_col: str = "text", la
     model = train(df, text_col, lang_col)
     if model is None:
         return df
-    a, b = "__lang_pred", "__score"
+    a, b = (next(n for k in range(len(df.columns) + 2) if (n := f"{name}{k}") not in df.columns) for name in ("lang_pred", "score"))
     return predict(df, model, df.columns, text_col, (a, b)).where((F.col(a) != UNKNOWN) & (F.col(b) >= least)).drop(a, b)
