@@ -7,8 +7,11 @@ their other columns, into windows. Only the short last piece of a document meets
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
+import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,21 +26,26 @@ from .tokens import CACHE_CHARS, Cache, byte_alphabet
 GROUP_PIECES = 2048
 
 #: Words that a cache generation keeps.
-WORDS = 250_000
+WORDS = 400_000
 #: The part of a window that the first try leaves free.
 SLACK = 0.0035
-#: One text of so many is cut finely.
+#: One text of so many is cut finely, by the CRC-32 of its id and token ids.
 FILLER_EVERY = 16
 
 #: Small Latin-1 letters, then ASCII signs.
 PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
 
 
+#: What a tokenizers file must say for words to be coded one by one: lower-casing, no merge across white space, runs of letters and of signs apart.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class WordIds:
-    """Ids of whole texts by a tokenizers file, as little-endian uint32 bytes; words between blanks are cached.
+    """Ids of whole texts by a tokenizers file, as little-endian uint32 bytes.
 
-    Exact for lower-casing byte-level tokenizers that drop white space, never merge across it and cut a word into runs of
-    letters and of signs.
+    Files of the kind above are served word by word from a cache; of any other kind, and texts that may hold special
+    tokens, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -46,40 +54,39 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.alphabet = self.tokenizer.model, byte_alphabet()
-        self.cores, self.tails = Cache(self.word, WORDS), Cache(self.any, WORDS)
-        self.new, self.old = {"": b""}, {}
-
-    def word(self, core: str) -> bytes:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        cut = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0].get("pattern") or {}
+        self.by_word = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == NORMALIZERS and cut.get("Regex") == SPLIT
+        self.by_word &= not spec["post_processor"] and not any(t["normalized"] for t in spec["added_tokens"])
+        special = [t["content"] for t in spec["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)", re.IGNORECASE).search
+        self.cores, self.tails, self.words = Cache(self.core, WORDS), Cache(self.any, WORDS), Cache(self.word, WORDS)
+
+    def core(self, letters: str) -> bytes:
         """Ids of a run of small Latin-1 letters: one pre-token, which no normalizer changes, by the model alone."""
-        shown = core if core.isascii() else "".join(map(self.alphabet.__getitem__, core.encode()))
-        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        shown = letters if letters.isascii() else "".join(map(self.alphabet.__getitem__, letters.encode()))
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def any(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, word: str) -> bytes:
-        """Ids of a word. A plain one (letters, then signs) is looked up by its two parts; any other goes to the tokenizer."""
+    def word(self, word: str) -> bytes:
+        """Ids of a word. A plain one (letters, then signs) is looked up by its two parts; any other goes to the library."""
         m = PLAIN(word.lower())
         if m is None:
             return self.any(word)
-        return self.cores[m[1]] + self.tails[m[2]] if m[2] else self.cores[m[1]]
+        letters, signs = m.groups()
+        return self.cores[letters] + self.tails[signs] if signs else self.cores[letters]
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        split = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        long = {w for w in words if len(w) > CACHE_CHARS}
-        lack = words - self.new.keys() - long
-        if len(self.new) + len(lack) > WORDS:
-            self.new, self.old = {"": b""}, self.new
-            lack = words - long - {""}
-        known = self.new
-        for w in lack & self.old.keys():
-            known[w] = self.old[w]
-        for w in lack - known.keys():
-            known[w] = self.encode(w)
-        if long:
-            known = known | {w: self.any(w) for w in long}
-        return [b"".join(map(known.__getitem__, w)) for w in split]
+        known, out = self.words.__getitem__, []
+        for t in texts:
+            if not self.by_word or self.special(t):
+                out.append(self.any(t))
+            else:
+                out.append(b"".join(map(known, (t.lower() if t.isascii() else t).replace("\n", " ").split(" "))))
+        return out
 
 
 def tokenize(df: DataFrame, path: str, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,11 +105,11 @@ def tokenize(df: DataFrame, path: str, end_id: int, capacity: int = 4096, id_col
         end, small = np.array([end_id], "<u4").tobytes(), max(1, capacity // 32)
         for batch in pieces(batches, 1):
             at, start, length, tokens, ids = [], [], [], [], []
-            for i, b in enumerate(ids_of([t or "" for t in batch.column(1).to_pylist()])):
+            for i, (name, b) in enumerate(zip(batch.column(0).to_pylist(), ids_of([t or "" for t in batch.column(1).to_pylist()]))):
                 b += end
                 n = len(b) // 4
                 full = n - n % capacity
-                cuts = [*range(0, full, capacity), *range(full, n, small if i % FILLER_EVERY == 0 else capacity), n]
+                cuts = [*range(0, full, capacity), *range(full, n, small if zlib.crc32(b, zlib.crc32(str(name).encode())) % FILLER_EVERY == 0 else capacity), n]
                 for s, e in zip(cuts, cuts[1:]):
                     at.append(i)
                     start.append(s)
