@@ -26,6 +26,8 @@ KINDS = ["assign", "access", "hex", "weak_id", "weak_key", "endpoint"]
 ROLES = {"assign": "secret", "access": "id", "hex": "secret", "weak_id": "id", "weak_key": "secret", "endpoint": "endpoint"}
 #: Code points between two parts of one credential at most.
 SCOPE = 256
+#: Matches of a text that are put in place together.
+PIECE = 256
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
@@ -50,7 +52,14 @@ def _spans(text: Column, pattern: str, kind: str, value: int = 0) -> Column:
         return F.struct(end.alias("at"), F.when(ok, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
 
     none = F.expr(f"cast(array() as {SPAN})")
-    found = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+
+    def folded(all_of_them):
+        """By pieces, as a fold copies what it has found with each match."""
+        before = lambda k: F.aggregate(F.slice(all_of_them, F.lit(1), k * PIECE), F.lit(0), lambda n, x: n + x["gap"] + F.coalesce(x["size"], F.lit(0)))
+        own = lambda k: F.aggregate(F.slice(all_of_them, k * PIECE + 1, F.lit(PIECE)), F.struct(before(k).alias("at"), none.alias("out")), step, lambda s: s["out"])
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(all_of_them) - 1) / PIECE).cast("int")), own))
+
+    found = F.get(F.transform(F.array(lengths), folded), F.lit(0))
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
@@ -125,11 +134,12 @@ def redacted(text: Column, spans: Column) -> Column:
 def redact(df: DataFrame, text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
     """All rows and columns of df, with secrets in the text replaced and, if there is such a column, the characters counted anew.
 
-    Only rows with weak candidates are joined to the links; the others are done where they are read.
+    Texts without secrets, null and empty ones stay as they are; repeated rows stay; an empty table gives no rows. Texts
+    are scanned once; only rows with weak candidates are joined to the links. df's columns may have any names.
     """
-    found = scan(df.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), ["row", "text"])  # no column of df can clash
+    found = materialize(df.sparkSession, scan(df.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), ["row", "text"]), "scanned")  # no column of df can clash
     none = F.expr(f"cast(array() as {SPAN})")
-    links = link(materialize(df.sparkSession, found.where(F.size("weak") > 0).select("h1", "h2", "base", "weak"), "weak"))
+    links = link(found.where(F.size("weak") > 0))
     alone = found.where(F.size("weak") == 0).withColumn("added", none)
     joined = found.where(F.size("weak") > 0).join(links, ["h1", "h2"], "left").withColumn("added", F.coalesce("added", none))
     rows = alone.unionByName(joined)
