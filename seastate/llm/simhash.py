@@ -25,20 +25,25 @@ SMALL_BUCKET = 64
 PAIR_COST = 1.0
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The SimHash of a text: bit b is 1 if set in over half the XXH64 hashes of its word shingles; 0 without words."""
+def shingle_hashes(text: str | None, words: int = 3) -> list[int]:
+    """The XXH64 hashes of a text's word shingles, repeats included; of fewer words the whole; none without words."""
     tokens = (text or "").encode().lower().split()  # bytes: A-Z only, and the blanks 0x20 and 0x09-0x0D
-    n = len(tokens)
-    if not n:
-        return 0
     joined = b" ".join(tokens)
-    if n <= words:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
-        starts = [0, *(ends + 1).tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[s:e], SEED) for s, e in zip(starts, ends[words - 1 :].tolist())]
+    if len(tokens) <= words:
+        return [xxhash.xxh64_intdigest(joined, SEED)] if tokens else []
+    ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
+    starts = [0, *(ends + 1).tolist()]
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[s:e], SEED) for s, e in zip(starts, ends[words - 1 :].tolist())]
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The SimHash of a text: bit b is 1 if set in over half the hashes of its word shingles; 0 without words."""
+    return majority(shingle_hashes(text, words))
+
+
+def majority(hashes: list[int]) -> int:
+    """The bits that are set in over half the hashes."""
     ones = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), BLOCK):
         h = np.array(hashes[k : k + BLOCK], "<u8")

@@ -1,40 +1,40 @@
-"""Near-duplicates by the similarity of word-shingle sets: candidates from bands of MinHashes, each checked on the sets.
-
-Two texts of similarity s (of their sets: shared over all) share one of BANDS keys of ROWS MinHashes each with
-probability 1 - (1 - s^ROWS)^BANDS; at s = 0.8 all but 5e-8 of the pairs do. Nothing is capped: of a key's texts, all
-meet the least one, and those that these links leave in different components meet each other.
+"""Near-duplicates by the similarity of word-shingle sets, from SimHash and MinHash candidates, each checked on the sets.
+
+SimHash fingerprints of the shingles are searched within RADIUS bits by the generalised pigeonhole principle. Most
+copies of a similarity near 0.8 differ in more bits (10 of 64 on average), which no pigeonhole search reaches at a
+bearable cost. These come from bands: two texts of similarity s (of their sets: shared over all) share one of BANDS keys
+of ROWS MinHashes each with probability 1 - (1 - s^ROWS)^BANDS; at s = 0.8 all but 6e-5 of the pairs do. Nothing is
+capped: of a key's texts, all meet the least one, and those that these links leave in different components meet each
+other.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
 from .passages import mix
 from .shared import kept, materialize, pieces, text_batches
-from .simhash import SEED, rows_kept
+from .simhash import links as near_fingerprints
+from .simhash import majority, rows_kept, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 32, 4
+BANDS, ROWS, RADIUS = 32, 6, 2
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Shingles whose MinHashes are taken at once.
 BLOCK = 1 << 12
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The distinct XXH64 hashes of a text's word shingles, in order; of fewer words than a shingle the whole is one."""
-    tokens = (text or "").encode().lower().split()
-    joined = b" ".join(tokens)
-    if len(tokens) <= words:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
-    starts = [0, *(ends + 1).tolist()]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[words - 1 :].tolist())], np.uint64))
+    """The distinct hashes of a text's word shingles, in order; one for a text without words."""
+    return distinct(shingle_hashes(text, words))
+
+
+def distinct(hashes: list[int]) -> np.ndarray:
+    return np.unique(np.array(hashes or [0], np.uint64))
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
@@ -77,14 +77,26 @@ def checked(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -
     return both.mapInArrow(op, "a long, b long")
 
 
+def by_fingerprint(keys: DataFrame, radius: int) -> DataFrame:
+    """(a, b): of equal fingerprints all texts with the least one, of fingerprints within radius bits the least ones."""
+    spark = keys.sparkSession
+    first = materialize(spark, keys.groupBy("fp").agg(F.min("h").alias("a")), "fingerprints")
+    near = near_fingerprints(first.select("fp"), radius).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    of = lambda old, new: first.select(F.col("fp").alias(old), F.col("a").alias(new))
+    across = near.join(of("x", "p"), "x").join(of("y", "q"), "y").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    return keys.join(first, "fp").where("h <> a").select("a", F.col("h").alias("b")).union(across)
+
+
 def links(keys: DataFrame, texts, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, label): components of all similar pairs of distinct texts; keys: (h, keys); texts: gives (h, text) of a table of h."""
+    """(node, label): components of all similar pairs of distinct texts; keys: (h, keys, fp); texts: gives (h, text) of a table of h."""
     spark = keys.sparkSession
+    close = materialize(spark, by_fingerprint(keys, RADIUS), "close")
     dealt = keys.select("h", F.explode("keys").alias("key"))
     leads = dealt.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a < z").select("key", "a")
     held = materialize(spark, dealt.join(leads, "key"), "held")
-    own = materialize(spark, texts(held.select("h").distinct()), "texts")
-    star = materialize(spark, held.where("h <> a").select("a", F.col("h").alias("b")).distinct(), "star")
+    some = held.select("h").union(close.select("a")).union(close.select("b")).distinct()
+    own = materialize(spark, texts(some), "texts")
+    star = materialize(spark, held.where("h <> a").select("a", F.col("h").alias("b")).union(close).distinct(), "star")
     found = materialize(spark, checked(star, own, words, similarity), "checked")
     labels = graph.components(found).withColumnRenamed("node", "h")
     # of a key's texts, those in different components so far
@@ -112,14 +124,16 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     def op(batches):
         kept()
         for batch in pieces(batches, 2):
-            keys = [band_keys(shingle_set(t, words)).view(np.int64) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.list_(pa.int64()))], ["id", "h", "keys"])
+            hashes = [shingle_hashes(t, words) for t in batch.column(2).to_pylist()]
+            keys = [band_keys(distinct(x)).view(np.int64) for x in hashes]
+            fp = np.array([majority(x) for x in hashes], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.list_(pa.int64())), pa.array(fp)], ["id", "h", "keys", "fp"])
 
-    made = materialize(spark, rows.mapInArrow(op, f"id {rows.schema['id'].dataType.simpleString()}, h long, keys array<long>"), "keys")
-    distinct = materialize(spark, made.groupBy("h").agg(F.min("id").alias("first"), F.first("keys").alias("keys")), "distinct")
+    made = materialize(spark, rows.mapInArrow(op, f"id {rows.schema['id'].dataType.simpleString()}, h long, keys array<long>, fp long"), "keys")
+    once = materialize(spark, made.groupBy("h").agg(F.min("id").alias("first"), F.first("keys").alias("keys"), F.first("fp").alias("fp")), "distinct")
     texts = lambda h: rows.select("h", "text").join(h, "h", "left_semi").dropDuplicates(["h"])
-    labels = links(distinct.select("h", "keys"), texts, words, similarity).withColumnRenamed("node", "h")
-    of = materialize(spark, distinct.select("h", "first").join(labels, "h", "left").select("h", "first", F.coalesce("label", "h").alias("label")), "of")
+    labels = links(once.select("h", "keys", "fp"), texts, words, similarity).withColumnRenamed("node", "h")
+    of = materialize(spark, once.select("h", "first").join(labels, "h", "left").select("h", "first", F.coalesce("label", "h").alias("label")), "of")
     least = of.groupBy("label").agg(F.min("first").alias("component_id"))
     of = materialize(spark, of.join(least, "label").select("h", "label", "component_id"), "components")
     ids = made.select("id", "h")
