@@ -253,24 +253,68 @@ def test_wand_is_exact():
     index = decontaminate.Index(items)
     r = random.Random(1)
     for _ in range(50):
-        terms = sorted(r.sample(range(len(index.ids)), 60))
+        terms = sorted(r.sample(range(len(index.vocabulary)), 60))
         full = collections.Counter()
         for t in terms:
-            for k, s in zip(index.ids[t], index.impacts[t]):
-                full[k] += s
+            for at in range(index.start[t], index.start[t + 1]):
+                full[int(index.ids[at])] += index.impacts[at]
         for low in (0.1, 0.3, 0.6):
             assert dict(index.search(terms, 0, 60, low)).keys() == {k for k, s in full.items() if s >= low - 1e-9}
 
 
+def test_questions_and_answers():
+    q = decontaminate.question_and_answer
+    assert q("Who? Me") == (["who"], ["me"]) and q("a b\nc") == (["a", "b"], ["c"]) and q("One two. Three") == (["one", "two"], ["three"])
+    assert q("a b c") == (["a", "b"], ["c"]) and q("a?") == (["a"], []) and q("?\n") == ([], []) and q(None) == ([], []) and q("? a b") == (["a"], ["b"])
+
+
+def test_decontamination_against_all_pairs(spark):
+    """Plain versions of both criteria over every document and item; shards don't change a score."""
+    r = random.Random(8)
+    items = [(k, prose(r.randint(1, 60), 300 + k) + (r.choice((". ", "\n", "? ")) + prose(r.randint(1, 40), 400 + k)) * r.randint(0, 1)) for k in range(60)]
+    rows = []
+    for k in range(150):
+        own = prose(r.randint(20, 200), 600 + k).split()
+        part = items[r.randrange(60)][1].replace("\n", " ").split()
+        for _ in range(r.randint(0, 3)):
+            part[r.randrange(len(part))] = "other"
+        at = r.randrange(len(own))
+        rows.append((k, " ".join(own[:at] + part[: r.choice((len(part), len(part), max(1, len(part) * 2 // 3)))] + own[at:])))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+    def part_of(w, text):
+        if len(w) < 5:
+            return float(not w or any(text[k : k + len(w)] == w for k in range(len(text))))
+        runs = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+        return len(runs & {tuple(text[k : k + 5]) for k in range(len(text))}) / len(runs)
+
+    want = set()
+    for i, t in items:
+        question, answer = decontaminate.question_and_answer(t)
+        for k, text in rows:
+            w = decontaminate.words(text)
+            whole = part_of(question + answer, w) if len(question + answer) >= 5 else 1.0
+            if whole >= 0.8 and min(part_of(question, w), part_of(answer, w)) >= 0.5 and len(question + answer) >= 5:
+                want.add((k, i))
+    found = [{(x["doc_id"], x["item_id"]): x["score"] for x in decontaminate.contaminated(docs, bench, shard_chars=c).collect()} for c in (400, 10**6)]
+    assert found[0] == pytest.approx(found[1])
+    long = {i for i, t in items if len(decontaminate.words(t)) >= 5}
+    assert {x for x in found[0] if x[1] in long} == want and len(want) > 40
+
+
 def test_compact_windows():
     rng = np.random.default_rng(0)
     for n in (3, 8, 30, 90):
-        h = rng.integers(0, 2**40, n).astype(np.uint64) << np.uint64(24)
-        h[: n // 3] = h[0]  # ties
-        l, c, r = passages.compact_windows(h, 8)
-        for i in range(n):
-            for j in range(i + 7, n):
-                assert sum(a <= i and j <= b and x == i + int(np.argmin(h[i : j + 1])) for a, x, b in zip(l, c, r)) == 1
+        for part in (1.0, 0.3):
+            at = np.flatnonzero(rng.random(n) < part)
+            h = rng.integers(0, 2**40, len(at)).astype(np.uint64)
+            h[: len(at) // 3] = h[:1]  # ties
+            l, c, r = passages.compact_windows(h, at, n, 8)
+            for i in range(n):
+                for j in range(i + 7, n):
+                    own = np.flatnonzero((at >= i) & (at <= j))
+                    if len(own):
+                        assert sum(a <= i and j <= b and x == at[own[np.argmin(h[own])]] for a, x, b in zip(l, c, r)) == 1
 
 
 def test_passages(spark, odd, none, monkeypatch):
@@ -329,7 +373,59 @@ def test_alike_tries_every_run(monkeypatch):
 
 
 def test_regions_hold_every_overlap():
-    """Windows of two hash functions overlap with a shorter one of a third between them, and over a bin of diagonals."""
-    rows = [(0, [0, 30, 60], [0, 30, 60]), (1, [5, 20, 25], [200, 210, 220]), (2, [10, 35, 70], [3, 43, 68])]
-    assert list(passages.regions(rows, 47, 2)) == [(0, 71, 0, 69)]
-    assert list(passages.regions(rows[:2], 47, 2)) == []
+    """Stretches of two hash functions overlap with a shorter one of a third between them; passages far apart stay apart."""
+    rows = [(0, [0, 59, 30, 500, 560, 530], [0, 59, 30, 900, 960, 930]), (1, [5, 24, 20], [200, 219, 210]), (2, [10, 69, 35], [3, 67, 43]), (3, [505, 560, 540], [905, 960, 940])]
+    assert passages.regions(rows, 47, 2) == [(0, 70, 0, 68), (500, 561, 900, 961)]
+    assert passages.regions(rows[:2], 47, 2) == []
+    assert len(passages.regions(rows, 47, 1)) > 2
+
+
+def all_pairs_of_passages(texts):
+    """By distinct text: its ranges of words that are similar to one of another text, and the least number of its class; all pairs of texts are compared."""
+    t = [passages.tokens(x) for x in texts]
+    ranges, least = [[] for _ in t], list(range(len(t)))
+    for i in range(len(t)):
+        for k in range(i):
+            if len(np.intersect1d(t[i], t[k])) >= 20:
+                p, q = passages.alike(t[i], t[k], 47, 0.8)
+                if p:
+                    ranges[i] += [(s, e + 4) for s, e in p]
+                    ranges[k] += [(s, e + 4) for s, e in q]
+                    a, b = least[i], least[k]
+                    least = [min(a, b) if x in (a, b) else x for x in least]
+    return [passages.merged(x) for x in ranges], least
+
+
+@pytest.mark.parametrize("rare", [2, 16])
+def test_passages_against_all_pairs(spark, monkeypatch, rare):
+    """Lines and passages that many texts share, edited passages, edited copies, and texts that mix them."""
+    monkeypatch.setattr(passages, "RARE", rare)
+    r = random.Random(rare)
+    lines, shared = [prose(n, 20000 + n) for n in (8, 20, 30)], [prose(n, 21000 + n).split() for n in (51, 60, 90, 200)]
+
+    def edited(w, most):
+        w = list(w)
+        for _ in range(r.randint(0, most)):
+            w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+        return " ".join(w)
+
+    texts = []
+    for k in range(160):
+        own = [prose(r.randint(5, 60), 22000 + 9 * k + i) for i in range(r.randint(1, 4))]
+        own += [r.choice(lines) for _ in range(r.randint(0, 3))]
+        own += [edited(r.choice(shared), 2) for _ in range(r.choice((0, 0, 1, 2)))]
+        r.shuffle(own)
+        texts.append(" ".join(own))
+    base = prose(150, 23000).split()
+    texts += [edited(base, 6) for _ in range(60)]
+    texts += [" ".join(["same word"] * 100), " ".join(["same word"] * 70) + " end"]
+    texts = list(dict.fromkeys(texts))
+    want, classes = all_pairs_of_passages(texts)
+    got = {x["doc_id"]: x for x in passages.near_duplicate_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    covered = lambda x: {k for s, e in x for k in range(s, e)}
+    assert set(got) <= {k for k, x in enumerate(want) if x}
+    hit = sum(len(covered(x) & covered([tuple(s) for s in got[k]["passages"]])) for k, x in enumerate(want) if k in got)
+    recall = hit / sum(len(covered(x)) for x in want)
+    same = sum(got[k]["class_id"] == classes[k] for k, x in enumerate(want) if x and k in got)
+    print(f"recall of words {recall:.4f}, of documents {len(got)} of {sum(map(bool, want))}, classes {same}")
+    assert recall >= 0.97 and same >= 0.97 * sum(map(bool, want))
