@@ -15,28 +15,31 @@ from seastate.session import prepare
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or without a recognised language go."""
+    """Documents without letters (null and empty ones too) or without a recognised language go; without labels all stay; repeated rows stay."""
     return langid.known_language(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word similarity 0.8 stays."""
+    """One document of each component of five-word similarity 0.8 stays: links by SimHash, and by MinHash where that can't reach.
+
+    The smallest id stays; of repeated rows one; texts without words are alike; null ids are never preferred.
+    """
     return similar.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item's question and answer go."""
+    """Documents that hold a benchmark item's question and answer go; null and empty texts and repeated rows stay."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced."""
+    """Secrets in the texts are replaced and characters counted anew; no row goes."""
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids in windows of 4096."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, with_ids=False)
+    """Pieces with their token ids in windows of 4096; null and empty texts make one piece, an empty table none."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
 STAGES = [
