@@ -170,16 +170,27 @@ def test_warc(spark, tmp_path):
     rows = [(5, "u5", big), (2, "u2", big), (2, "u1", big), (9, None, None), (None, "n", big), (7, "u\r\n7", "small"), (8, "u8", "small"), (1, "u", prose(3000, 1)), (3, "u", prose(3000, 2))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     folder = f"file://{tmp_path}/w"
-    manifest = warc.write(df, folder, shard_bytes=10_000, file_bytes=5_000)
+    write = lambda d, at: [r.asDict() for r in warc.write(d, at, shard_bytes=10_000, file_bytes=5_000).orderBy("shard", "number").collect()]
+    manifest = write(df, folder)
     assert len(manifest) > 1 and sum(f["records"] for f in manifest) == len(rows)
     got = warc.read(spark, folder).collect()
     assert sorted((x["payload_bytes"], x["payload_digest"]) for x in got) == sorted((len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest()) for *_, h in rows)
     same = [x for x in got if x["payload_bytes"] == 160]
     assert sorted((str(x["page_id"]), x["record_type"], x["refers_to"]) for x in same) == [("2", "response", None), ("2", "revisit", 2), ("5", "revisit", 2), ("None", "revisit", 2)]
     assert all(x["record_type"] == "response" for x in got if x["payload_bytes"] < 100)
-    again = warc.write(df.repartition(5), f"file://{tmp_path}/w2", shard_bytes=10_000, file_bytes=5_000)
+    again = write(df.repartition(5), f"file://{tmp_path}/w2")
     assert again == manifest  # equal bytes, whatever the partitioning
     assert warc.round_trip(df.limit(0)).count() == 0
+    records = warc.read(spark, folder)
+    assert warc.checked(records).count() == len(rows) and warc.checked(records.limit(0)).count() == 0
+    with pytest.raises(Exception, match="without its response"):
+        warc.checked(records.where("record_type = 'revisit'")).collect()
+    heads = [h for f in manifest for h, _ in warc.parse((tmp_path / "w" / f["name"]).read_bytes())]
+    of = {h["WARC-Record-ID"]: h for h in heads}
+    assert all(of[h["WARC-Refers-To"]]["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] for h in heads if h["WARC-Type"] == "revisit")
+    (tmp_path / "w2" / manifest[0]["name"]).write_bytes(b"damaged")
+    with pytest.raises(Exception, match="missing or damaged"):
+        warc.read(spark, f"file://{tmp_path}/w2").collect()
     with pytest.raises(ValueError):
         list(warc.parse((tmp_path / "w" / manifest[0]["name"]).read_bytes()[:-3]))
 
