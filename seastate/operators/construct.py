@@ -144,55 +144,78 @@ def partition_and_reconstruct(frame: SpectraFrame, keys: list[str], parts: int =
     return P.merge_parts(construct_partition(known, split.grid, freq_name, dir_name, freq_kwargs, dir_kwargs), keys, method_combine)
 
 
-def model_jonswap(f: np.ndarray, df: np.ndarray, tail: float, fp: float, hs: float, gamma: float) -> np.ndarray:
+def log_jonswap(f: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ln of the shape at parameters p (n, 3: fp, hs, gamma), and its derivatives by fp and gamma."""
+    fp, gamma = p[:, 0, None], p[:, 2, None]
+    u, sigma = f / fp - 1, np.where(f <= fp, 0.07, 0.09)
+    near = np.exp(-(u**2) / (2 * sigma**2))
+    by_fp = -5 * fp**3 / f**4 + np.log(gamma) * near * u * f / (sigma * fp) ** 2
+    return -5 * np.log(f) - 1.25 * (fp / f) ** 4 + np.log(gamma) * near, np.stack([by_fp, near / gamma], axis=2)
+
+
+def log_gaussian(f: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As log_jonswap, for p of fp, hs, gw."""
+    d, gw = f - p[:, 0, None], p[:, 2, None]
+    return -0.5 * (d / gw) ** 2, np.stack([d / gw**2, d**2 / gw**3], axis=2)
+
+
+def modelled(log_shape, g: Grid, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Densities (n, nf) of the given wave height, tail included, and their derivatives (n, nf, 3)."""
+    e, slope = np.zeros((len(p), g.nf)), np.zeros((len(p), g.nf, 3))
+    own = np.flatnonzero(g.f > 0)
+    weight = (g.df + np.where(np.arange(g.nf) == g.nf - 1, g.tail(), 0.0))[own]
     with np.errstate(all="ignore"):
-        e = np.where(f > 0, f**-5.0 * np.exp(-1.25 * (f / fp) ** -4.0), 0.0)
-        sigma = np.where(f <= fp, 0.07, 0.09)
-        e = e * gamma ** np.exp(-((f - fp) ** 2) / (2 * sigma**2 * fp**2))
-        return e * (hs * hs / 16 / ((e * df).sum() + e[-1] * tail))
-
-
-def model_gaussian(f: np.ndarray, df: np.ndarray, tail: float, fp: float, hs: float, gw: float) -> np.ndarray:
-    with np.errstate(all="ignore"):
-        e = np.exp(-0.5 * ((f - fp) / gw) ** 2)
-        return e * (hs * hs / 16 / ((e * df).sum() + e[-1] * tail))
-
-
-def least_squares(model, y: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 200) -> np.ndarray | None:
-    """Levenberg-Marquardt with clipped parameters; None if it doesn't settle."""
-    p = np.clip(start, low, high)
-    damp, r = 1e-3, model(*p) - y
-    cost = r @ r
+        log, by = log_shape(g.f[own], p)
+        shape = np.exp(log - log.max(axis=1, keepdims=True))
+        part = shape * weight / (shape * weight).sum(axis=1, keepdims=True)
+        density = part / weight * p[:, 1, None] ** 2 / 16
+        mean = (part[:, :, None] * by).sum(axis=1, keepdims=True)
+        e[:, own] = density
+        slope[:, own, 1] = 2 * density / p[:, 1, None]
+        slope[:, own, 0::2] = density[:, :, None] * (by - mean)
+    return e, slope
+
+
+def least_squares(log_shape, g: Grid, y: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 400) -> np.ndarray:
+    """(n, 3): Levenberg-Marquardt with clipped parameters for all rows of y at once; NaN where it doesn't settle.
+
+    Each row has its own damping: a step that lowers its cost is taken and damps less, another one damps more.
+    """
+    p, out = np.clip(start, low, high), np.full(start.shape, np.nan)
+    damp, failed = np.full(len(p), 1e-3), np.zeros(len(p), int)
+    model, slope = modelled(log_shape, g, p)
+    rest = model - y
+    cost = (rest**2).sum(axis=1)
+    live = np.flatnonzero(np.isfinite(cost))
     for _ in range(rounds):
-        if not np.isfinite(cost):
-            return None
-        step = 1e-6 * np.maximum(np.abs(p), 1e-4)
-        jac = np.empty((len(y), len(p)))
-        for k in range(len(p)):
-            q = p.copy()
-            q[k] = q[k] + step[k] if q[k] + step[k] <= high[k] else q[k] - step[k]
-            jac[:, k] = (model(*q) - model(*p)) / (q[k] - p[k])
-        a, b = jac.T @ jac, jac.T @ r
-        for _ in range(30):
-            try:
-                move = np.linalg.solve(a + damp * np.diag(np.maximum(np.diag(a), 1e-12)), -b)
-            except np.linalg.LinAlgError:
-                return None
-            q = np.clip(p + move, low, high)
-            s = model(*q) - y
-            if np.isfinite(s).all() and s @ s < cost:
-                break
-            damp *= 4
-        else:
-            return p
-        done = cost - s @ s <= 1e-12 * max(cost, 1e-300) and np.all(np.abs(q - p) <= 1e-8 * np.maximum(np.abs(p), 1e-8))
-        p, r, cost, damp = q, s, s @ s, max(damp / 8, 1e-12)
-        if done or cost < 1e-24:
-            return p
-    return None
-
-
-def _fit(frame: SpectraFrame, third: str, model, guess: float, bounded: bool) -> SpectraFrame:
+        if not len(live):
+            break
+        a = np.einsum("nfi,nfj->nij", slope[live], slope[live])
+        b = np.einsum("nfi,nf->ni", slope[live], rest[live])
+        diagonal = np.maximum(np.einsum("nii->ni", a), 1e-12)
+        a[:, [0, 1, 2], [0, 1, 2]] += damp[live, None] * diagonal
+        try:
+            move = -np.linalg.solve(a, b[:, :, None])[:, :, 0]
+        except np.linalg.LinAlgError:
+            move = -(np.linalg.pinv(a) @ b[:, :, None])[:, :, 0]
+        q = np.clip(p[live] + move, low, high)
+        model, new_slope = modelled(log_shape, g, q)
+        new_rest = model - y[live]
+        new_cost = (new_rest**2).sum(axis=1)
+        better = np.isfinite(new_cost) & (new_cost < cost[live])
+        with np.errstate(invalid="ignore"):
+            small = (cost[live] - new_cost <= 1e-12 * np.maximum(cost[live], 1e-300)) & (np.abs(q - p[live]) <= 1e-8 * np.maximum(np.abs(p[live]), 1e-8)).all(axis=1)
+        took = live[better]
+        p[took], slope[took], rest[took], cost[took] = q[better], new_slope[better], new_rest[better], new_cost[better]
+        damp[live] = np.where(better, np.maximum(damp[live] / 8, 1e-12), damp[live] * 4)
+        failed[live] = np.where(better, 0, failed[live] + 1)
+        done = better & (small | (new_cost < 1e-24)) | (failed[live] >= 30)
+        out[live[done]] = p[live[done]]
+        live = live[~done]
+    return out
+
+
+def _fit(frame: SpectraFrame, third: str, log_shape, guess: float, bounded: bool) -> SpectraFrame:
     """The frame's other columns with fp, hs and a third parameter, and efth the fitted density over frequency. No fit: null and NaN."""
     g = frame.grid
     flat = Grid(g.freq)
@@ -213,19 +236,19 @@ def _fit(frame: SpectraFrame, third: str, model, guess: float, bounded: bool) ->
             e = unpack(b.column(len(names)), flat)[:, :, 0]
             fp, hs = (b.column(len(names) + k).to_numpy(zero_copy_only=False) for k in (1, 2))
             found, shapes = np.full((len(e), 3), np.nan), np.full(e.shape, np.nan)
-            for k, y in enumerate(e):
-                if np.isfinite(fp[k]) and np.isfinite(hs[k]) and hs[k] > 0:
-                    p = least_squares(lambda *q: model(g.f, g.df, g.tail(), *q), y, np.array([fp[k], hs[k], guess]), low, high)
-                    if p is not None:
-                        found[k], shapes[k] = p, model(g.f, g.df, g.tail(), *p)
+            known = np.flatnonzero(np.isfinite(fp) & np.isfinite(hs) & (hs > 0))
+            if len(known):
+                found[known] = least_squares(log_shape, g, e[known], np.stack([fp[known], hs[known], np.full(len(known), guess)], axis=1), low, high)
+                fitted = np.flatnonzero(np.isfinite(found[:, 0]))
+                shapes[fitted] = modelled(log_shape, g, found[fitted])[0]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *(pa.array(found[:, j], from_pandas=True) for j in range(3)), pack(shapes)], [*names, "fp", "hs", third, EFTH])
 
     return SpectraFrame(rows.mapInArrow(op, schema), flat)
 
 
 def fit_jonswap(frame: SpectraFrame, gamma0: float = 1.5) -> SpectraFrame:
-    return _fit(frame, "gamma", model_jonswap, gamma0, True)
+    return _fit(frame, "gamma", log_jonswap, gamma0, True)
 
 
 def fit_gaussian(frame: SpectraFrame, gw0: float = 1.5) -> SpectraFrame:
-    return _fit(frame, "gw", model_gaussian, gw0, False)
+    return _fit(frame, "gw", log_gaussian, gw0, False)
