@@ -397,7 +397,7 @@ def all_pairs_of_passages(texts):
     ranges, least = [[] for _ in t], list(range(len(t)))
     for i in range(len(t)):
         for k in range(i):
-            if len(np.intersect1d(t[i], t[k])) >= 20:
+            if len(np.intersect1d(t[i], t[k])):
                 p, q = passages.alike(t[i], t[k], 47, 0.8)
                 if p:
                     ranges[i] += [(s, e + 4) for s, e in p]
