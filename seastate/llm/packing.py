@@ -26,7 +26,7 @@ from .tokens import CACHE_CHARS, Cache, byte_alphabet
 GROUP_PIECES = 2048
 
 #: Words that a cache generation keeps.
-WORDS = 400_000
+WORDS = 250_000
 #: The part of a window that the first try leaves free.
 SLACK = 0.0035
 #: One text of so many is cut finely, by the CRC-32 of its id and token ids.
