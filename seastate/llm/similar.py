@@ -24,6 +24,8 @@ from .simhash import majority, rows_kept, shingle_hashes
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS, RADIUS = 32, 6, 2
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Texts of a shingle that all meet.
+FEW = 16
 #: Shingles whose MinHashes are taken at once.
 BLOCK = 1 << 12
 
@@ -92,25 +94,72 @@ def links(keys: DataFrame, texts, words: int = WORDS, similarity: float = SIMILA
     spark = keys.sparkSession
     close = materialize(spark, by_fingerprint(keys, RADIUS), "close")
     dealt = keys.select("h", F.explode("keys").alias("key"))
-    leads = dealt.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a < z").select("key", "a")
-    held = materialize(spark, dealt.join(leads, "key"), "held")
+    sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(spark, dealt.join(sizes, "key"), "shared")
+    # the text that shares keys with most others leads: what copies were made of, rather than one of them
+    known = shared.groupBy("h").agg(F.sum("n").alias("met"))
+    ranked = shared.select("key", "h").join(known, "h")
+    leads = ranked.groupBy("key").agg(F.max(F.struct("met", "h")).alias("x")).select("key", F.col("x.h").alias("a"))
+    held = materialize(spark, shared.select("key", "h").join(leads, "key"), "held")
     some = held.select("h").union(close.select("a")).union(close.select("b")).distinct()
     own = materialize(spark, texts(some), "texts")
-    star = materialize(spark, held.where("h <> a").select("a", F.col("h").alias("b")).union(close).distinct(), "star")
+    star = held.where("h <> a").select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b"))
+    star = materialize(spark, star.union(close).distinct(), "star")
     found = materialize(spark, checked(star, own, words, similarity), "checked")
     labels = graph.components(found).withColumnRenamed("node", "h")
     # of a key's texts, those in different components so far
-    placed = materialize(spark, held.join(labels, "h", "left").select("key", "h", F.coalesce("label", "h").alias("label")), "placed")
+    placed = held.join(labels, "h", "left").select("key", "h", F.coalesce("label", "h").alias("label"), F.col("label").isNull().alias("alone"))
+    placed = materialize(spark, placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
     mixed = materialize(spark, placed.join(mixed, "key", "left_semi"), "mixed")
-    sides = mixed.select("key", "label").distinct()
+    near, lonely = possible(mixed, own, words, similarity)
+    # texts that are alone meet all; of the components that share a key, all texts of one meet all of the other
+    one = mixed.join(lonely, "h", "left_semi").select("key", "label", "h")
+    groups = one.join(mixed.select("key", F.col("label").alias("l2")).distinct(), "key").where("label <> l2").select("h", "l2").distinct()
+    alone = groups.join(mixed.select(F.col("label").alias("l2"), F.col("h").alias("h2")).distinct(), "l2").select("h", "h2")
+    joint = mixed.where("not alone").select("key", "label", "h")
+    sides = joint.select("key", "label").distinct()
     meet = sides.alias("p").join(sides.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.label") < F.col("q.label"))).select("p.key", F.col("p.label").alias("la"), F.col("q.label").alias("lb"))
-    meet = meet.join(mixed.select("key", F.col("label").alias("la"), F.col("h").alias("p")), ["key", "la"]).join(mixed.select("key", F.col("label").alias("lb"), F.col("h").alias("q")), ["key", "lb"])
-    rest = meet.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    meet = meet.join(joint.select("key", F.col("label").alias("la"), "h"), ["key", "la"]).join(joint.select("key", F.col("label").alias("lb"), F.col("h").alias("h2")), ["key", "lb"])
+    rest = near.union(alone).union(meet.select("h", "h2")).select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     rest = materialize(spark, checked(materialize(spark, rest, "rest"), own, words, similarity), "checked")
     return graph.components(found.union(rest))
 
 
+def possible(mixed: DataFrame, texts: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """What may be similar to the texts of mixed (key, h, alone) that are alone: pairs (h, h2) by shingles that stand in FEW texts at most, and the texts (h) that may be similar to others without such a shingle.
+
+    That is exact. Of all shingles of these texts it is known in how many they stand and the size of the smallest set
+    that has them. A set shares at most those of its shingles that stand in two texts, with one that is as large as all
+    but the largest of these sizes allow; if that gives less than `similarity`, nothing is similar to it.
+    """
+    spark = mixed.sparkSession
+    some = mixed.groupBy("key").agg(F.max("alone").alias("any")).where("any").select("key")
+    near = mixed.join(some, "key", "left_semi").groupBy("h").agg(F.max("alone").alias("alone"))
+
+    def op(batches):
+        kept()
+        for batch in pieces(batches, 1):
+            sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+            size = pa.array([len(x) for x in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), size.take(at), pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())], ["h", "alone", "size", "shingle"])
+
+    made = materialize(spark, texts.join(near, "h").select("h", "text", "alone").mapInArrow(op, "h long, alone boolean, size int, shingle long"), "shingles")
+    twice = made.groupBy("shingle").agg(F.count("*").alias("n"), F.min("size").alias("least")).where("n > 1")
+    own = materialize(spark, made.where("alone").select("h", "size", "shingle").join(twice, "shingle"), "own")
+
+    def fits(rows: DataFrame) -> DataFrame:
+        met = rows.groupBy("h", "size").agg(F.count("*").alias("met"), F.sort_array(F.collect_list("least")).alias("least"))
+        enough = F.ceil(similarity * F.col("size") - 1e-9).cast("int")  # so many it must share, and so be as large as the sets of all of these
+        met = met.where(F.col("met") >= enough).withColumn("least", F.element_at("least", enough))
+        return met.where(F.col("met") >= similarity * (F.col("size") + F.greatest("least", "met") - F.col("met"))).select("h")
+
+    rare = own.join(fits(own), "h", "left_semi").where(F.col("n") <= FEW).select("h", "shingle")
+    near = rare.join(made.select("shingle", F.col("h").alias("h2")), "shingle").where("h <> h2").select("h", "h2").distinct()
+    return materialize(spark, near, "near"), materialize(spark, fits(own.where(F.col("n") > FEW)), "possible")
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of df, with all columns, without all but one of each component of similar texts: the one with the smallest id stays.
 
