@@ -20,6 +20,7 @@ from ..operators import shape as SH
 from ..operators import stats as ST
 from ..operators import tracking as TR
 from . import derived as D
+from . import sources as SO
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -438,8 +439,8 @@ def reconstruct(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_queries)
+    return _queries | SO.queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return _sql | SO.oracles

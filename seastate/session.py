@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -17,3 +20,31 @@ def prepare(spark: SparkSession) -> SparkSession:
     if HOME not in known:
         env["PYTHONPATH"] = os.pathsep.join([*filter(None, known), HOME])
     return spark
+
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir; a local one only if driver and executors are one process), removed when this Python process ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = "file:///tmp/checkpoints/seastate"
+    folder = f"{shared.rstrip('/')}/seastate-{uuid.uuid4().hex}"
+    _made.append((spark, folder))
+    return f"{folder}/{tag}"
+
+
+def _clean() -> None:
+    while _made:
+        spark, folder = _made.pop()
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # this session has ended; its folder's owner cleans up
+            continue
+
+
+atexit.register(_clean)

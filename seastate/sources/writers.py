@@ -1,4 +1,4 @@
-"""Writers of text formats. A formatter makes a file's text from rows; each file is written by the task that has its rows."""
+"""Writers of text formats: `to_files` writes a file for each site (or other keys) from the tasks that have its rows; the others make one local file in the driver, row by row."""
 
 from __future__ import annotations
 
@@ -9,8 +9,12 @@ import zipfile
 from collections.abc import Iterable
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..frame import EFTH, SpectraFrame
 from ..grid import Grid
@@ -109,26 +113,32 @@ def to_octopus(frame: SpectraFrame, path: str, site_id: str = "spec", fcut: floa
     sites: dict = {}
     for r in (df.orderBy("site", "time") if "site" in has else df.orderBy("time")).toLocalIterator():
         sites.setdefault(r["site"] if "site" in has else 0, []).append(r.asDict())
-    number = lambda v: missing if v is None or (isinstance(v, float) and math.isnan(v)) else v
     out = []
     for rows in sites.values():
-        first = rows[0]
-        step = (rows[1]["time"] - first["time"]).total_seconds() / 3600 if len(rows) > 1 else 0
-        out.append(f"Forecast valid for {first['time']:%d-%b-%Y %H:%M:%S}\nnfreqs,{g.nf}\nndir,{g.nd}\nnrecs,{len(rows)}\nLatitude,{first['lat']:.6f}\nLongitude,{first['lon']:.6f}\nDepth,{first['dpt']:.2f}\n\n")
-        for k, r in enumerate(rows):
-            v = {n: number(x) for n, x in r.items() if n != EFTH}
-            energy = np.nan_to_num(np.array(r[EFTH], float).reshape(g.nf, g.nd)) * g.df[:, None] * g.dd
-            out.append("CCYYMM,DDHHmm,LPoint,WD,WS,ETot,TZ,VMD,ETotSe,TZSe,VMDSe,ETotSw,TZSw,VMDSw,Mo1,Mo2,HSig,DomDr,AngSpr,Tau\n")
-            e = lambda h: 0.25 * v[h] ** 2 if v[h] != missing else missing
-            out.append(f"{r['time']:%Y%m},'{r['time']:%d%H%M},{site_id}_{r['time']:%Y%m%d_%Hz},{v['wdir']:.0f},{v['wspd']:.2f},{e('hs'):.4f},{v['tm01']:.2f},{v['dm']:.1f},{e('hs_sea'):.4f},{v['tm01_sea']:.2f},{v['dm_sea']:.1f},{e('hs_swell'):.4f},{v['tm01_swell']:.2f},{v['dm_swell']:.1f},{v['momf1']:.5f},{v['momf2']:.5f},{v['hs']:.4f},{v['dpm']:.0f},{v['dspr']:.0f},{k * step:.0f}\n")
-            out.append("freq," + "".join(f"{f:.5f}," for f in g.freq) + "anspec\n")
-            out += [f"{d:.0f}," + "".join(f"{x:.5f}," for x in energy[:, j]) + f"{energy[:, j].sum():.5f}\n" for j, d in enumerate(g.theta)]
-            by = energy.sum(axis=1)
-            out.append("fSpec," + "".join(f"{x:.5f}," for x in by) + f"{by.sum():.5f}\n")
-            out.append("den," + "".join(f"{x:.5f}," for x in by / g.df) + "\n\n")
+        step = (rows[1]["time"] - rows[0]["time"]).total_seconds() / 3600 if len(rows) > 1 else 0
+        out.append(octopus_header(rows[0], g, len(rows)))
+        out += [octopus_record(r, g, k * step, site_id, missing) for k, r in enumerate(rows)]
     put(path, "".join(out))
 
 
+def octopus_header(first: dict, g: Grid, count: int) -> str:
+    return f"Forecast valid for {first['time']:%d-%b-%Y %H:%M:%S}\nnfreqs,{g.nf}\nndir,{g.nd}\nnrecs,{count}\nLatitude,{first['lat']:.6f}\nLongitude,{first['lon']:.6f}\nDepth,{first['dpt']:.2f}\n\n"
+
+
+def octopus_record(r: dict, g: Grid, tau: float, site_id: str = "spec", missing: float = -99999) -> str:
+    v = {n: missing if x is None or (isinstance(x, float) and math.isnan(x)) else x for n, x in r.items() if n != EFTH}
+    energy = np.nan_to_num(np.array(r[EFTH], float).reshape(g.nf, g.nd)) * g.df[:, None] * g.dd
+    out = ["CCYYMM,DDHHmm,LPoint,WD,WS,ETot,TZ,VMD,ETotSe,TZSe,VMDSe,ETotSw,TZSw,VMDSw,Mo1,Mo2,HSig,DomDr,AngSpr,Tau\n"]
+    e = lambda h: 0.25 * v[h] ** 2 if v[h] != missing else missing
+    out.append(f"{r['time']:%Y%m},'{r['time']:%d%H%M},{site_id}_{r['time']:%Y%m%d_%Hz},{v['wdir']:.0f},{v['wspd']:.2f},{e('hs'):.4f},{v['tm01']:.2f},{v['dm']:.1f},{e('hs_sea'):.4f},{v['tm01_sea']:.2f},{v['dm_sea']:.1f},{e('hs_swell'):.4f},{v['tm01_swell']:.2f},{v['dm_swell']:.1f},{v['momf1']:.5f},{v['momf2']:.5f},{v['hs']:.4f},{v['dpm']:.0f},{v['dspr']:.0f},{tau:.0f}\n")
+    out.append("freq," + "".join(f"{f:.5f}," for f in g.freq) + "anspec\n")
+    out += [f"{d:.0f}," + "".join(f"{x:.5f}," for x in energy[:, j]) + f"{energy[:, j].sum():.5f}\n" for j, d in enumerate(g.theta)]
+    by = energy.sum(axis=1)
+    out.append("fSpec," + "".join(f"{x:.5f}," for x in by) + f"{by.sum():.5f}\n")
+    out.append("den," + "".join(f"{x:.5f}," for x in by / g.df) + "\n\n")
+    return "".join(out)
+
+
 def going_to(g: Grid, clip: bool) -> tuple[np.ndarray, np.ndarray]:
     """Cartesian going-to directions within -180..180, in order, and their places; clip: those within -90..90."""
     d = np.mod(270 - g.theta + 180, 360) - 180
@@ -184,7 +194,10 @@ def to_funwave_new(frame: SpectraFrame, path: str, clip: bool = True, phases: bo
 def to_json(frame: SpectraFrame, path: str, dim: str = "time") -> None:
     """A dataset dict along one dimension, times in ISO form."""
     g = frame.grid
-    rows = list(ordered(frame, dim))
+    put(path, json_text(list(ordered(frame, dim)), g, dim, frame.others))
+
+
+def json_text(rows: list[dict], g: Grid, dim: str, others: list[str]) -> str:
     plain = lambda v: v.isoformat() if hasattr(v, "isoformat") else None if isinstance(v, float) and math.isnan(v) else v
     dims = [dim, "freq", *(["dir"] if g.dir is not None else [])]
     blocks = [np.array(r[EFTH], float).reshape(g.nf, g.nd) for r in rows]
@@ -193,8 +206,8 @@ def to_json(frame: SpectraFrame, path: str, dim: str = "time") -> None:
     if g.dir is not None:
         coords["dir"] = {"dims": ["dir"], "attrs": {}, "data": list(g.dir)}
     variables = {EFTH: {"dims": dims, "attrs": {}, "data": efth}}
-    variables |= {c: {"dims": [dim], "attrs": {}, "data": [plain(r[c]) for r in rows]} for c in frame.others if c != dim}
-    put(path, json.dumps({"coords": coords, "attrs": {}, "dims": {}, "data_vars": variables}))
+    variables |= {c: {"dims": [dim], "attrs": {}, "data": [plain(r[c]) for r in rows]} for c in others if c != dim}
+    return json.dumps({"coords": coords, "attrs": {}, "dims": {}, "data_vars": variables})
 
 
 def wave_trains(frame: SpectraFrame, least: float = 1e-6) -> DataFrame:
@@ -216,4 +229,55 @@ def ww3_form(frame: SpectraFrame) -> tuple[DataFrame, dict]:
     return df.withColumnsRenamed({a: b for a, b in names.items() if a in df.columns}), {"frequency": list(g.freq), "frequency1": low.tolist(), "frequency2": high.tolist(), "direction": [(d + 180) % 360 for d in g.theta]}
 
 
+def to_files(frame: SpectraFrame, path: str, kind: str, by: list[str], fcut: float = 0.125, clip: bool = True, missing: float = -99999) -> None:
+    """A file of a format ("swan", "octopus", "funwave", "funwave_new" or "json") for each value of the columns `by`, as path/by=value/part-....
+
+    One shuffle brings a file's spectra together in the order of time; tasks write their files through Spark, so that a
+    lost one leaves nothing behind. A Funwave file holds one spectrum: `by` must tell all spectra apart.
+    """
+    g, keyed = frame.grid, [F.col(c) for c in by]
+    has, timed = set(frame.df.columns), "time" in frame.df.columns
+    df = frame.df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0 if c in ("lon", "lat") else float(missing))) if c in has else F.lit(0.0 if c in ("lon", "lat") else float(missing)) for c in ("lon", "lat", "wspd", "wdir", "dpt")})
+    if kind == "octopus":
+        if not timed:
+            raise ValueError("times are needed")
+        df = octopus_rows(SpectraFrame(df, g.directional() and g), fcut)
+    elif kind.startswith("funwave"):
+        df = ST.stats(SpectraFrame(df.withColumn("__e", F.col(EFTH)), g), ["tp"], names=["__tp"]).withColumnRenamed("__e", EFTH)
+    elif kind not in ("swan", "json"):
+        raise ValueError(f"no such format: {kind}")
+    order = F.col("time") if timed else F.lit(0)
+    own, whole = Window.partitionBy(*keyed).orderBy(order), Window.partitionBy(*keyed)
+    df = df.withColumns({"__k": F.row_number().over(own) - 1, "__n": F.count("*").over(whole)})
+    if kind == "octopus":
+        df = df.withColumn("__step", F.coalesce((F.nth_value("time", 2).over(whole.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).cast("timestamp").cast("double") - F.min("time").over(whole).cast("timestamp").cast("double")) / 3600, F.lit(0.0)))
+    others = frame.others
+
+    def text(r: dict) -> str:
+        if kind == "octopus":
+            return (octopus_header(r, g, r["__n"]) if r["__k"] == 0 else "") + octopus_record(r, g, r["__k"] * r["__step"], missing=missing).removesuffix("\n")
+        x = np.array([np.nan if v is None else v for v in r[EFTH]], float).reshape(g.nf, g.nd)
+        if kind == "swan":
+            head = swan_header(g, [(r["lon"], r["lat"])], timed) if r["__k"] == 0 else ""
+            return head + (f"{r['time'].strftime('%Y%m%d.%H%M%S'):<40}date and time\n" if timed else "") + swan_block(x).removesuffix("\n")
+        if r["__n"] > 1:
+            raise ValueError("a file holds one spectrum")
+        write = funwave_text if kind == "funwave" else funwave_new_text
+        return write(np.nan_to_num(x), g, r["__tp"] or 0.0, clip).removesuffix("\n")
+
+    keys = T.StructType([df.schema[c] for c in by])
+    if kind == "json":
+        made = df.groupBy(*by).applyInPandas(lambda key, pdf: pd.DataFrame([[*key, json_text(pdf.sort_values("__k")[[*others, EFTH]].to_dict("records"), g, "time", others)]], columns=[*by, "value"]), T.StructType([*keys.fields, T.StructField("value", T.StringType())]))
+    else:
+
+        def op(batches):
+            for batch in batches:
+                rows = batch.to_pylist()
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), batch.column("__k"), pa.array([text(r) for r in rows], pa.string())], [*by, "__k", "value"])
+
+        made = df.mapInArrow(op, T.StructType([*keys.fields, T.StructField("__k", T.IntegerType()), T.StructField("value", T.StringType())]))
+        made = made.sortWithinPartitions(*by, "__k").select(*by, "value")
+    made.write.mode("overwrite").partitionBy(*by).text(path)
+
+
 WRITERS = {"swan": to_swan, "octopus": to_octopus, "funwave": to_funwave, "funwave_new": to_funwave_new, "json": to_json}

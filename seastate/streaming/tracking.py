@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -54,18 +54,61 @@ def track_spectra(frame: SpectraFrame, method: str = "ptm1", key: str = "site",
     return track_stream(df.select(F.col(key).cast("string").alias(key), time, "part", "fp", "dpm", F.col(wspd).alias("wspd") if wspd in df.columns else F.lit(float("nan")).alias("wspd")), key, time, nsea=NSEA[method], **kw)
 
 
-def upsert(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: a Parquet table in which the row latest by `order` counts for each key. Versions are written beside each other, the newest is read."""
+#: Parts that a table of latest rows is dealt to by its keys; a batch rewrites those that it touches.
+PARTS = 64
+
+
+def upsert(path: str, keys: list[str], order: str, parts: int = PARTS) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: a table in which the row latest by `order` counts for each key, read by `latest`.
+
+    Keys are dealt to parts. A batch reads the newest version of those parts only that it has keys of, and writes a new
+    version of these; older versions of a part go once a newer one is whole. Batch numbers only need to rise, and a
+    repeated batch writes the same again.
+    """
 
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = f"{path}/v{number - 1}"
-        rows = batch
-        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if number and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)):
-            rows = spark.read.parquet(old).unionByName(batch)
-        names = [c for c in rows.columns if c not in keys]
-        latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*names), order).alias("r")).select(*keys, "r.*")
-        latest.write.mode("overwrite").parquet(f"{path}/v{number}")
+        new = batch.withColumn("__part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+        touched = sorted(r["__part"] for r in new.select("__part").distinct().collect())  # `parts` rows at most
+        known = _versions(spark, path)
+        old = [f"{path}/version={known[p][0]}/__part={p}" for p in touched if p in known]
+        rows = new
+        if old:
+            rows = spark.read.option("basePath", f"{path}").parquet(*old).drop("version").select(new.columns).unionByName(new)
+        names = [c for c in rows.columns if c not in [*keys, "__part"]]
+        latest = rows.groupBy("__part", *keys).agg(F.max_by(F.struct(*names), order).alias("r")).select("__part", *keys, "r.*")
+        latest.write.mode("overwrite").partitionBy("__part").parquet(f"{path}/version={number}")
+        for p in touched:
+            for v in known.get(p, [])[1:]:
+                _delete(spark, f"{path}/version={v}/__part={p}")
 
     return sink
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The table that upsert has written: the newest version of each part."""
+    known = _versions(spark, path)
+    return spark.read.option("basePath", path).parquet(*(f"{path}/version={v[0]}/__part={p}" for p, v in sorted(known.items()))).drop("version", "__part")
+
+
+def _fs(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """The whole versions of each part, newest first."""
+    fs, at = _fs(spark, path)
+    known: dict[int, list[int]] = {}
+    if fs.exists(at):
+        for v in fs.listStatus(at):
+            if fs.exists(_fs(spark, f"{v.getPath().toString()}/_SUCCESS")[1]):
+                for p in fs.listStatus(v.getPath()):
+                    if p.getPath().getName().startswith("__part="):
+                        known.setdefault(int(p.getPath().getName().partition("=")[2]), []).append(int(v.getPath().getName().partition("=")[2]))
+    return {p: sorted(v, reverse=True) for p, v in known.items()}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, at = _fs(spark, path)
+    fs.delete(at, True)
