@@ -13,7 +13,7 @@ from ..frame import EFTH, SpectraFrame
 from ..grid import Grid
 from ..operators import stats as ST
 from ..session import scratch
-from ..sources import models, multi, text, writers
+from ..sources import models, multi, netcdf, text, writers
 from ..streaming import tracking as STR
 from . import derived as D
 
@@ -91,6 +91,24 @@ def native_parquet(spark, sf_dir):
     return described(models.read_parquet(spark, path), ["hs"])
 
 
+def _uri(path: str) -> str:
+    return path if "://" in path else "file://" + path.removeprefix("file:")
+
+
+@query("netcdf_files", EXACT)
+def netcdf_files(spark, sf_dir):
+    folder = _uri(scratch(spark, "netcdf"))
+    netcdf.to_netcdf(placed(spark, sf_dir), folder, ["site"])
+    return described(netcdf.read(spark, folder + "/*.nc"), ["hs"])
+
+
+@query("ww3_files", EXACT)
+def ww3_files(spark, sf_dir):
+    folder = _uri(scratch(spark, "ww3"))
+    netcdf.to_netcdf(placed(spark, sf_dir), folder, ["site"], "ww3")
+    return described(netcdf.read(spark, folder + "/*.nc", "ww3"), ["hs"])
+
+
 _BY_VEC = "SELECT k AS vec_id, round(hs, 5) + 0.0 AS hs FROM h"
 
 
