@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import drop, materialize
 
 #: With so few links left, one task joins them by union-find.
 FEW_LINKS = 10_000
@@ -46,7 +46,7 @@ def components(links: DataFrame) -> DataFrame:
     links = materialize(spark, links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     rounds: list[DataFrame] = []
     while links.count() > FEW_LINKS:
-        k = len(rounds)
+        k, old = len(rounds), links
         both = links.union(links.select("b", "a"))
         best = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(k)).alias("rank"), "b")).alias("best"))
         moved = best.select(F.col("a").alias("node"), F.when(F.col("best.rank") < F.xxhash64("a", F.lit(k)), F.col("best.b")).otherwise(F.col("a")).alias("label"))
@@ -55,12 +55,17 @@ def components(links: DataFrame) -> DataFrame:
         links = links.join(moved.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").select("x", "b")
         links = links.join(moved.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").where("x <> y")
         links = links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        links = materialize(spark, links, f"links{k}")
+        made = materialize(spark, links, f"links{k}")
+        drop(spark, old)
+        links = made
     last = materialize(spark, _finish(links), "last")
+    drop(spark, links)
     if not rounds:
         return last
     out = rounds[0]
     for step in [*rounds[1:], last]:
-        step = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        out = materialize(spark, out.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+        renamed = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        more = materialize(spark, out.join(renamed, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+        drop(spark, out, step)
+        out = more
     return out

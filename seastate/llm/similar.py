@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import graph
 from .passages import mix
-from .shared import kept, materialize, pieces, text_batches
+from .shared import drop, kept, materialize, pieces, text_batches
 from .simhash import links as near_fingerprints
 from .simhash import majority, rows_kept, shingle_hashes
 
@@ -122,8 +122,12 @@ def links(keys: DataFrame, texts, words: int = WORDS, similarity: float = SIMILA
     meet = sides.alias("p").join(sides.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.label") < F.col("q.label"))).select("p.key", F.col("p.label").alias("la"), F.col("q.label").alias("lb"))
     meet = meet.join(joint.select("key", F.col("label").alias("la"), "h"), ["key", "la"]).join(joint.select("key", F.col("label").alias("lb"), F.col("h").alias("h2")), ["key", "lb"])
     rest = near.union(alone).union(meet.select("h", "h2")).select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    rest = materialize(spark, checked(materialize(spark, rest, "rest"), own, words, similarity), "checked")
-    return graph.components(found.union(rest))
+    pairs = materialize(spark, rest, "rest")
+    rest = materialize(spark, checked(pairs, own, words, similarity), "checked")
+    drop(spark, close, shared, held, own, star, placed, mixed, near, lonely, pairs)
+    labels = graph.components(found.union(rest))
+    drop(spark, found, rest)
+    return labels
 
 
 def possible(mixed: DataFrame, texts: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -157,7 +161,9 @@ def possible(mixed: DataFrame, texts: DataFrame, words: int, similarity: float)
 
     rare = own.join(fits(own), "h", "left_semi").where(F.col("n") <= FEW).select("h", "shingle")
     near = rare.join(made.select("shingle", F.col("h").alias("h2")), "shingle").where("h <> h2").select("h", "h2").distinct()
-    return materialize(spark, near, "near"), materialize(spark, fits(own.where(F.col("n") > FEW)), "possible")
+    out = materialize(spark, near, "near"), materialize(spark, fits(own.where(F.col("n") > FEW)), "possible")
+    drop(spark, made, own)
+    return out
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -182,8 +188,10 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     once = materialize(spark, made.groupBy("h").agg(F.min("id").alias("first"), F.first("keys").alias("keys"), F.first("fp").alias("fp")), "distinct")
     texts = lambda h: rows.select("h", "text").join(h, "h", "left_semi").dropDuplicates(["h"])
     labels = links(once.select("h", "keys", "fp"), texts, words, similarity).withColumnRenamed("node", "h")
-    of = materialize(spark, once.select("h", "first").join(labels, "h", "left").select("h", "first", F.coalesce("label", "h").alias("label")), "of")
-    least = of.groupBy("label").agg(F.min("first").alias("component_id"))
-    of = materialize(spark, of.join(least, "label").select("h", "label", "component_id"), "components")
+    parts = materialize(spark, once.select("h", "first").join(labels, "h", "left").select("h", "first", F.coalesce("label", "h").alias("label")), "of")
+    least = parts.groupBy("label").agg(F.min("first").alias("component_id"))
+    of = materialize(spark, parts.join(least, "label").select("h", "label", "component_id"), "components")
     ids = made.select("id", "h")
-    return rows_kept(df, ids, ids.join(of, "h"), id_col, text_col)
+    out = rows_kept(df, ids, ids.join(of, "h"), id_col, text_col)  # reads these tables before it returns
+    drop(spark, made, once, parts, of)
+    return out
