@@ -1,4 +1,4 @@
-"""Site selection: nearest neighbour, inverse distance and box, as joins with a small table of requests."""
+"""Site selection: nearest neighbour, inverse distance and box. Requests and sites meet in cells as wide as the tolerance."""
 
 from __future__ import annotations
 
@@ -8,9 +8,6 @@ from pyspark.sql.window import Window
 
 from ..frame import EFTH, SpectraFrame
 
-#: Requests of one selection at most; they are held in the plan.
-MOST_REQUESTS = 10_000
-
 
 def convention(frame: SpectraFrame, lon: str) -> tuple[bool, bool]:
     """Whether the longitudes of the frame fit -180..180 and 0..360."""
@@ -33,8 +30,6 @@ def requests(frame: SpectraFrame, lons, lats, lon: str) -> list[tuple[int, float
     lons, lats = [float(x) for x in lons], [float(x) for x in lats]
     if len(lons) != len(lats) or not lons:
         raise ValueError("as many longitudes as latitudes are needed, one at least")
-    if len(lons) > MOST_REQUESTS:
-        raise ValueError(f"{MOST_REQUESTS} requests at most")
     return list(enumerate_(to_convention(lons, *convention(frame, lon)), lats))
 
 
@@ -43,15 +38,21 @@ def enumerate_(lons, lats):
         yield k, x, y
 
 
-def distances(frame: SpectraFrame, wanted: list[tuple[int, float, float]], site: str, lon: str, lat: str) -> DataFrame:
-    """(request, rlon, rlat, site, distance) for all requests and distinct sites, in degrees, without wrapping round.
+def distances(frame: SpectraFrame, wanted: list[tuple[int, float, float]], tolerance: float, site: str, lon: str, lat: str) -> DataFrame:
+    """(request, rlon, rlat, site, distance) of requests and distinct sites within tolerance, in degrees, without wrapping round.
 
-    The sites come from one aggregation; the requests are an array literal in each site's row, so nothing is joined.
+    Sites are dealt to cells as wide as the tolerance, requests to their own cell and those around it; the two meet by
+    an equi-join, so only near pairs are made, however many requests there are.
     """
-    sites = frame.df.groupBy(site).agg(F.min(lon).alias("__x"), F.min(lat).alias("__y"))
-    asked = F.array(*[F.struct(F.lit(k).alias("request"), F.lit(x).alias("rlon"), F.lit(y).alias("rlat")) for k, x, y in wanted])
-    rows = sites.select(site, "__x", "__y", F.explode(asked).alias("r")).select(site, "__x", "__y", "r.*")
-    return rows.select("request", "rlon", "rlat", site, F.sqrt(F.pow(F.col("__x") - F.col("rlon"), F.lit(2.0)) + F.pow(F.col("__y") - F.col("rlat"), F.lit(2.0))).alias("distance"))
+    spark, width = frame.df.sparkSession, max(float(tolerance), 1e-6)
+    cell = lambda c: F.floor(F.col(c) / width)
+    sites = frame.df.groupBy(site).agg(F.min(lon).alias("__x"), F.min(lat).alias("__y")).withColumns({"__i": cell("__x"), "__j": cell("__y")})
+    asked = spark.createDataFrame(wanted, "request int, rlon double, rlat double")
+    around = F.array(*[F.struct((cell("rlon") + a).alias("__i"), (cell("rlat") + b).alias("__j")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    asked = asked.select("request", "rlon", "rlat", F.explode(around).alias("c")).select("request", "rlon", "rlat", "c.*")
+    rows = sites.join(asked, ["__i", "__j"])
+    distance = F.sqrt(F.pow(F.col("__x") - F.col("rlon"), F.lit(2.0)) + F.pow(F.col("__y") - F.col("rlat"), F.lit(2.0)))
+    return rows.select("request", "rlon", "rlat", site, distance.alias("distance")).where(F.col("distance") <= width)
 
 
 def nearest(frame: SpectraFrame, lons, lats, tolerance: float = 2.0, unique: bool = False, exact: bool = False, missing: str = "raise", site: str = "site", lon: str = "lon", lat: str = "lat") -> SpectraFrame:
@@ -61,14 +62,14 @@ def nearest(frame: SpectraFrame, lons, lats, tolerance: float = 2.0, unique: boo
     unique keeps each site once, for its first request.
     """
     wanted = requests(frame, lons, lats, lon)
-    best = distances(frame, wanted, site, lon, lat).groupBy("request").agg(F.min(F.struct("distance", F.col(site).alias("at"))).alias("b"))
+    best = distances(frame, wanted, 1e-9 if exact else tolerance, site, lon, lat).groupBy("request").agg(F.min(F.struct("distance", F.col(site).alias("at"))).alias("b"))
     best = best.select("request", F.col("b.at").alias(site), F.col("b.distance").alias("distance")).where(F.col("distance") <= (1e-9 if exact else tolerance))
     found = best.collect()  # a row for each request at most
     if missing == "raise" and len(found) < len(wanted):
         raise ValueError(f"no site for requests {sorted({k for k, _, _ in wanted} - {r['request'] for r in found})}")
     if unique:
         best = best.groupBy(site).agg(F.min("request").alias("request"))
-    return frame.with_df(frame.df.join(F.broadcast(best.select("request", site)), site))
+    return frame.with_df(frame.df.join(best.select("request", site), site))
 
 
 def idw(frame: SpectraFrame, lons, lats, times: list[str], tolerance: float = 2.0, max_sites: int = 4, site: str = "site", lon: str = "lon", lat: str = "lat") -> SpectraFrame:
@@ -79,18 +80,24 @@ def idw(frame: SpectraFrame, lons, lats, times: list[str], tolerance: float = 2.
     """
     wanted = requests(frame, lons, lats, lon)
     order = Window.partitionBy("request").orderBy("distance", site)
-    near = distances(frame, wanted, site, lon, lat).where(F.col("distance") <= tolerance).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= max_sites)
+    near = distances(frame, wanted, tolerance, site, lon, lat).where(F.col("distance") <= tolerance).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= max_sites)
     per = Window.partitionBy("request")
     near = near.withColumn("__zero", F.min("distance").over(per) == 0).where(~F.col("__zero") | (F.col("__n") == 1))
     near = near.withColumn("__w", F.when(F.col("__zero"), 1.0).otherwise(1 / F.col("distance"))).withColumn("__ok", F.col("__zero") | (F.count("*").over(per) > 1))
     numbers = [c for c, t in frame.df.dtypes if t in ("double", "float") and c not in (lon, lat, *times)]
-    rows = frame.df.join(F.broadcast(near.select("request", "rlon", "rlat", site, "__w", "__ok")), site)
-    # element-wise weighted sums, aggregated before the shuffle: one row for each request, time and bin
-    long = rows.select("request", "rlon", "rlat", *times, *numbers, "__w", "__ok", F.posexplode(EFTH).alias("__k", "__e"))
-    mean = lambda c: F.when(F.first("__ok"), F.sum(F.col(c) * F.col("__w")) / F.sum("__w")).otherwise(F.lit(float("nan")))
-    bins = long.groupBy("request", "rlon", "rlat", *times, "__k").agg(mean("__e").alias("__e"), *(mean(c).alias(c) for c in numbers))
-    out = bins.groupBy("request", "rlon", "rlat", *times).agg(F.array_sort(F.collect_list(F.struct("__k", "__e"))).alias("s"), *(F.first(c).alias(c) for c in numbers))
-    return frame.with_df(out.select("request", F.col("rlon").alias(lon), F.col("rlat").alias(lat), *times, *numbers, F.transform("s", lambda x: x["__e"]).alias(EFTH)))
+    rows = frame.df.join(near.select("request", "rlon", "rlat", site, "__w", "__ok"), site)
+    # at most max_sites spectra of a request and time come together, weighted before; their arrays are summed up bin by bin
+    own = F.struct(F.col("__w"), F.col("__ok"), F.transform(EFTH, lambda x: x * F.col("__w")).alias("__e"), *(F.col(c).cast("double").alias(c) for c in numbers))
+    met = rows.groupBy("request", "rlon", "rlat", *times).agg(F.sort_array(F.collect_list(own)).alias("s"))
+    whole = F.aggregate("s", F.lit(0.0), lambda a, x: a + x["__w"])
+    ok = F.get("s", F.lit(0))["__ok"]
+    summed = F.aggregate(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), F.get("s", F.lit(0))["__e"], lambda a, x: F.zip_with(a, x["__e"], lambda p, q: p + q))
+    nan = F.lit(float("nan"))
+    mean = lambda c: F.when(ok, F.aggregate("s", F.lit(0.0), lambda a, x: a + x[c] * x["__w"]) / F.col("__whole")).otherwise(nan)
+    met = met.withColumn("__whole", whole)
+    efth = F.transform(summed, lambda x: F.when(ok, x / F.col("__whole")).otherwise(nan))
+    out = met.select("request", F.col("rlon").alias(lon), F.col("rlat").alias(lat), *times, *(mean(c).alias(c) for c in numbers), efth.alias(EFTH))
+    return frame.with_df(out)
 
 
 def inside(lons, lats, tolerance: float, is_180: bool, is_360: bool, lon: str, lat: str) -> Column:

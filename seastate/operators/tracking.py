@@ -117,7 +117,7 @@ def wave_systems(tracks: DataFrame, keys: list[str], time: str = "time", min_dur
     """Rows of tracks of at least min_duration steps, with wave_system numbered from 0 in the order of track_id in each site."""
     from pyspark.sql.window import Window
 
-    long = tracks.where("track_id is not null").groupBy(*keys, "track_id").agg(F.countDistinct(time).alias("__n")).where(F.col("__n") >= min_duration)
-    order = Window.partitionBy(*keys).orderBy("track_id")
-    numbered = long.select(*keys, "track_id", (F.dense_rank().over(order) - 1).alias("wave_system"))
-    return tracks.join(numbered, [*keys, "track_id"])
+    dealt = (tracks.repartition(*keys) if keys else tracks).where("track_id is not null")  # one shuffle for both windows
+    steps = F.size(F.collect_set(time).over(Window.partitionBy(*keys, "track_id")))
+    long = dealt.withColumn("__n", steps).where(F.col("__n") >= min_duration).drop("__n")
+    return long.withColumn("wave_system", F.dense_rank().over(Window.partitionBy(*keys).orderBy("track_id")) - 1)
