@@ -3,31 +3,50 @@
 from __future__ import annotations
 
 import argparse
+import ast
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import construct as C
 from .operators import stats as ST
-from .sources import models, text, writers
+from .sources import models, netcdf, text, writers
 
 
-def frame_of(spark: SparkSession, path: str, engine: str):
-    return models.read_parquet(spark, path) if engine == "parquet" else text.read(spark, path, engine)
+def frame_of(spark: SparkSession, path: str, engine: str, **options):
+    if engine == "parquet":
+        return models.read_parquet(spark, path)
+    if engine in netcdf.SPECTRAL:
+        return netcdf.read(spark, path, engine, **options)
+    return text.read(spark, path, engine, **options)
+
+
+def options_of(pairs: list[str] | None) -> dict:
+    """name=value options; values are Python literals, else text."""
+    out = {}
+    for pair in pairs or []:
+        name, _, value = pair.partition("=")
+        try:
+            out[name] = ast.literal_eval(value)
+        except (ValueError, SyntaxError):
+            out[name] = value
+    return out
 
 
 def main(argv: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="seastate")
     sub = top.add_subparsers(dest="command", required=True)
     convert = sub.add_parser("convert").add_subparsers(dest="what", required=True)
-    engines, formats = [*text.PARSERS, "parquet"], [*writers.WRITERS, "parquet"]
+    engines, formats = [*text.PARSERS, *netcdf.SPECTRAL, "parquet"], [*writers.WRITERS, "parquet"]
     one = convert.add_parser("format")
     two = convert.add_parser("stats")
     three = sub.add_parser("reconstruct").add_subparsers(dest="what", required=True).add_parser("spectra")
     for p in (one, two, three):
         p.add_argument("infile")
         p.add_argument("engine", choices=engines)
-        p.add_argument("outfile")
+        p.add_argument("outfile", nargs="?")
+        p.add_argument("-o", "--out", dest="out")
+        p.add_argument("-k", "--read-option", action="append", metavar="NAME=VALUE")
     one.add_argument("format", choices=formats)
     two.add_argument("-p", "--parameter", action="append")
     three.add_argument("format", choices=formats)
@@ -37,8 +56,11 @@ def main(argv: list[str] | None = None) -> int:
     three.add_argument("-m", "--partition-method", default="ptm3")
     three.add_argument("-c", "--combine", default="max")
     a = top.parse_args(argv)
+    a.outfile = a.out or a.outfile
+    if not a.outfile:
+        top.error("an output path is needed")
     spark = SparkSession.builder.appName("seastate").getOrCreate()
-    frame = frame_of(spark, a.infile, a.engine)
+    frame = frame_of(spark, a.infile, a.engine, **options_of(a.read_option))
     if a.command == "convert" and a.what == "stats":
         ST.stats(frame.with_df(frame.df.withColumn("source", F.lit(a.infile))), a.parameter or ["hs", "tp", "dpm"]).write.mode("overwrite").parquet(a.outfile)
         return 0

@@ -44,10 +44,15 @@ def read_hotswan(spark: SparkSession, paths, dirorder: bool = True) -> SpectraFr
 
 
 def read_swanow(spark: SparkSession, paths) -> SpectraFrame:
-    """Overlapping runs: for each time and place, the file that comes last by name counts."""
+    """Overlapping runs: for each time and place, the file that comes last by name counts; what it lacks (null columns, null or NaN bins) comes from the one before."""
     frame = text.read(spark, paths, "swan")
-    order = Window.partitionBy("time", "lat", "lon").orderBy(F.desc("file"))
-    return frame.with_df(frame.df.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n"))
+    keys = ["time", "lat", "lon"]
+    others = [c for c in frame.others if c not in keys]
+    known = lambda x: F.when(x.isNotNull() & ~F.isnan(x), x)
+    files = F.sort_array(F.collect_list(F.struct("file", EFTH)), asc=False)  # few runs have a time
+    last = frame.df.groupBy(*keys).agg(files.alias("__s"), *(F.expr(f"max_by(`{c}`, file) FILTER (WHERE `{c}` IS NOT NULL)").alias(c) for c in others))
+    filled = F.aggregate(F.slice("__s", 2, F.greatest(F.size("__s") - 1, F.lit(0))), F.get("__s", F.lit(0))[EFTH], lambda a, x: F.zip_with(a, x[EFTH], lambda p, q: F.coalesce(known(p), q, p)))
+    return frame.with_df(last.select(*keys, *others, filled.alias(EFTH)))
 
 
 def read_obscape_dir(spark: SparkSession, folder: str, start_date: str | None = None, end_date: str | None = None) -> SpectraFrame:

@@ -161,3 +161,46 @@ def test_forms_by_name(spark):
     assert models.from_dataframe(sw, freq=[0.1], dir=[0.0, np.pi]).df.first()["wspd"] == 5.0
     wm = spark.createDataFrame([([1.0, 1.0],)], "AC array<double>")
     assert models.from_dataframe(wm, spsig=[2 * np.pi], spdir=[0.0, np.pi]).df.first()[EFTH][0] == pytest.approx((2 * np.pi) ** 2 * np.pi / 180)
+
+
+def test_netcdf_bytes():
+    """A round trip by bytes, and a hand-made file with records, packed numbers and fill values."""
+    import struct
+
+    import numpy as np
+
+    from seastate.sources import netcdf as N
+
+    made = {"x": N.Variable(("a", "b"), np.arange(6.0).reshape(2, 3), {"units": "m", "two": 2.0}), "i": N.Variable(("a",), np.array([1, -2], "i4"), {}), "c": N.Variable(("a", "w"), np.array([[b"a", b"b"], [b"c", b""]], "S1"), {}), "s": N.Variable((), np.array(7.0), {})}
+    got, attrs = N.parse(N.build(made, {"title": "odd"}))
+    assert attrs == {"title": "odd"} and got["x"].attrs == {"units": "m", "two": 2.0}
+    assert all((got[k].data == v.data).all() and got[k].dims == v.dims for k, v in made.items())
+    text = lambda s: struct.pack(">I", len(s)) + s + b"\0" * (-len(s) % 4)
+    head = b"CDF\x01" + struct.pack(">I", 2) + struct.pack(">II", 10, 2) + text(b"time") + struct.pack(">I", 0) + text(b"k") + struct.pack(">I", 3) + struct.pack(">II", 0, 0)
+    fill = struct.pack(">II", 12, 2) + text(b"_FillValue") + struct.pack(">II", 3, 1) + struct.pack(">hxx", -9) + text(b"scale_factor") + struct.pack(">II", 6, 1) + struct.pack(">d", 0.5)
+    variable = lambda begin: struct.pack(">II", 11, 1) + text(b"v") + struct.pack(">III", 2, 0, 1) + fill + struct.pack(">III", 3, 8, begin)
+    raw = head + variable(len(head + variable(0))) + struct.pack(">hhh", 1, -9, 3) + struct.pack(">hhh", 4, 5, 6)
+    v = N.parse(raw)[0]["v"].data
+    assert np.array_equal(v, [[0.5, np.nan, 1.5], [2.0, 2.5, 3.0]], equal_nan=True)
+    with pytest.raises(ValueError):
+        N.parse(b"HDF5....")
+    assert str(N.decoded_times(np.array([1.5]), "days since 1990-01-01 00:00:00")[0]).startswith("1990-01-02T12:00:00")
+
+
+def test_columns_of_all_files(spark, tmp_path):
+    """A column that only a later file has stays; another grid raises on demand."""
+    import json
+
+    def make(name, freq, more):
+        coords = {"time": {"dims": ["time"], "data": ["2020-01-01T00:00:00"]}, "freq": {"dims": ["freq"], "data": freq}, "dir": {"dims": ["dir"], "data": [0.0, 180.0]}}
+        variables = {"efth": {"dims": ["time", "freq", "dir"], "data": [[[1.0, 2.0]] * len(freq)]}} | {k: {"dims": ["time"], "data": [v]} for k, v in more.items()}
+        (tmp_path / name).write_text(json.dumps({"coords": coords, "data_vars": variables, "attrs": {}, "dims": {}}))
+
+    make("a.json", [0.1, 0.2, 0.3], {})
+    make("b.json", [0.1, 0.2, 0.3], {"wspd": 5.0})
+    got = {r["file"]: r["wspd"] for r in text.read(spark, f"{tmp_path}/*.json", "json").df.collect()}
+    assert got == {"a.json": None, "b.json": 5.0}
+    make("c.json", [0.1, 0.3], {})
+    assert text.read(spark, f"{tmp_path}/*.json", "json").df.count() == 3
+    with pytest.raises(Exception, match="another grid"):
+        text.read(spark, f"{tmp_path}/*.json", "json", regrid=False).df.collect()
