@@ -351,6 +351,32 @@ def sel_bbox(spark, sf):
     return SE.bbox(_sites(spark, sf), [-20.0, 30.0], [-10.0, 15.0], tolerance=0.5).df.select("vec_id")
 
 
+@query("sel_exact", f"WITH {_SITES} SELECT CAST(0 AS INT) AS request, min(vec_id) AS vec_id FROM s WHERE lon = -90.0 + 7 AND lat = -45.0 + 11")
+def sel_exact(spark, sf):
+    out = SE.sel(_sites(spark, sf), [-83.0], [-34.0], method=None, site="vec_id")
+    return out.df.select("request", "vec_id")
+
+
+@query("interp_like", _weights_sql(D.EMB, _REGRID, "SELECT k AS vec_id, CAST(a AS INT) AS i, CAST(bb AS INT) AS j, round(n, 6) + 0.0 AS value FROM full_y"))
+def interp_like(spark, sf):
+    fr = D.embeddings(spark, sf)
+    return binned(SH.interp_like(fr, SpectraFrame(fr.df, _REGRID), maintain_m0=False), ["vec_id"])
+
+
+@query("from_long", emb("SELECT k AS vec_id, round(hs, 6) + 0.0 AS hs FROM h"))
+def from_long(spark, sf):
+    fr = D.embeddings(spark, sf)
+    rows = fr.to_long().select("vec_id", "ifreq", "idir", EFTH)
+    return rounded(ST.stats(SpectraFrame.from_long(rows, fr.grid, ["vec_id"]), ["hs"]), ["vec_id"])
+
+
+@query("sorted_directions", emb("SELECT k AS vec_id, CAST(i AS INT) AS i, CAST(7 - j AS INT) AS j, round(n, 6) + 0.0 AS value FROM b"))
+def sorted_directions(spark, sf):
+    """Directions that are named in falling order come back in rising order, with their bins."""
+    fr = D.embeddings(spark, sf)
+    return binned(SH.sort_dirs(fr.with_df(fr.df, Grid(fr.grid.freq, tuple(reversed(fr.grid.dir))))), ["vec_id"])
+
+
 @query("unique_times", "SELECT event_id, user_id FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
 def unique_times(spark, sf):
     df = D.parameters(spark, sf).withColumn(EFTH, F.array(F.lit(1.0)))
