@@ -45,6 +45,26 @@ def preferences(turns: DataFrame, pair: Column, chosen: Column, id_col: str = "c
     return out.select("pair_id", F.col("p.part").alias("part"), "turn", said["role"].alias("role"), rendered(said["role"], said["text"]).alias("rendered"), trained.alias("trained"))
 
 
+def paired(parts: DataFrame) -> DataFrame:
+    """(pair_id, prompt, chosen, rejected, chosen_mask, rejected_mask): a row for each pair of preferences(), sides that lack being empty.
+
+    A mask holds the ranges (start, end exclusive, in code points of its completion) that are trained on. The turns of
+    one pair come together here, so a pair has to fit in a row; preferences() itself has no such bound.
+    """
+    turns = parts.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("turn", "part", "rendered", "trained"))).alias("s"))
+    own = lambda part: F.filter("s", lambda x: x["part"] == part)
+    none = F.expr("cast(array() as array<struct<start: int, end: int>>)")
+
+    def step(state, x):
+        end = state["at"] + F.length(x["rendered"])
+        span = F.array(F.struct(state["at"].alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(x["trained"], F.concat(state["out"], span)).otherwise(state["out"]).alias("out"))
+
+    mask = lambda part: F.aggregate(own(part), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+    text = lambda part: F.array_join(F.transform(own(part), lambda x: x["rendered"]), "")
+    return turns.select("pair_id", *(text(p).alias(p) for p in ("prompt", "chosen", "rejected")), *(mask(p).alias(f"{p}_mask") for p in ("chosen", "rejected")))
+
+
 #: The registered query's pairs: conversations 2k (chosen) and 2k + 1 (rejected).
 SQL = r"""
 WITH r AS (SELECT conv_id >> 1 AS pair_id, conv_id & 1 AS side, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),

@@ -201,6 +201,11 @@ def test_chat(spark):
     run = lambda d: sorted((r["pair_id"], r["part"], r["turn"], r["trained"]) for r in chat.preferences(d, F.shiftright("conv_id", 1), F.col("conv_id").bitwiseAND(1) == 0).collect())
     assert run(df) == [(0, "chosen", 2, False), (0, "prompt", 0, False), (0, "prompt", 1, False), (0, "rejected", 2, True), (0, "rejected", 3, True), (1, "prompt", 0, False), (2, "chosen", 0, False)]
     assert run(df.limit(0)) == []
+    pairs = {r["pair_id"]: r for r in chat.paired(chat.preferences(df, F.shiftright("conv_id", 1), F.col("conv_id").bitwiseAND(1) == 0)).collect()}
+    first = pairs[0]
+    assert first["prompt"] == "<|user|>\nq<|end|>\n<|assistant|>\na<|end|>\n" and first["chosen"] == "<|user|>\nx<|end|>\n" and first["chosen_mask"] == []
+    assert [first["rejected"][m["start"] : m["end"]] for m in first["rejected_mask"]] == ["<|assistant|>\ny<|end|>\n", "<|assistant|>\nz<|end|>\n"]
+    assert pairs[1]["chosen"] == pairs[1]["rejected"] == "" and set(pairs) == {0, 1, 2}
 
 
 def plain_spans(t):
