@@ -1,6 +1,6 @@
 """Secret scans with multipart credential linking, in DataFrame functions only.
 
-Base spans come from fixed patterns. Weak candidates (login names, short key identifiers, bare 40-character keys, URLs)
+Base spans come from fixed patterns. Weak candidates (login names, mail addresses, short key identifiers, bare 40-character keys, URLs)
 are added only where complementary parts lie in their scope: an interval join on (text, bin of positions).
 """
 
@@ -16,8 +16,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ASSIGN_VALUE = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # the runs AKIA[A-Z0-9]+ of 18 characters or more
 HEX = r"[0-9a-f]{16,}"  # the runs [0-9a-f]+ of 16 characters or more
-#: Weak candidates: key identifiers and login names, bare secret keys, endpoints.
-WEAK_ID = r"(?<![A-Za-z0-9])(?:(?:ASIA|AROA|AIDA|ABIA|ACCA)[A-Z0-9]{12,}|AKIA[A-Z0-9]{12,13}(?![A-Z0-9])|(?i:user(?:name)?|login|client_?id|account)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,})"
+#: Weak candidates: key identifiers, login names and mail addresses; bare secret keys; endpoints.
+WEAK_ID = r"(?<![A-Za-z0-9])(?:(?:ASIA|AROA|AIDA|ABIA|ACCA)[A-Z0-9]{12,}|AKIA[A-Z0-9]{12,13}(?![A-Z0-9])|(?i:user(?:name)?|login|client_?id|account)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,})|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 WEAK_KEY = r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])"
 ENDPOINT = r"(?<![A-Za-z0-9])[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9._~:/@%?&=#-]+"
 #: Kinds in the order in which ties are listed. The last three are the added ones.
