@@ -60,3 +60,26 @@ def test_near_dedup_reaches_similarity(spark):
     assert kept == {k for k, x in enumerate(least) if k == x}
     old = {x["doc_id"] for x in simhash.keep_one(docs).collect()}
     assert len(old) > len(kept)
+
+
+def test_odd_tables(spark, tmp_path):
+    """An empty table, and one with clashing columns, null ids and texts, repeated rows and a very long text."""
+    clash = ["score", "lang_pred", "h", "key", "keys", "fp", "label", "component_id", "row", "hit", "new", "passage", "item_id", "id", "base", "weak", "length", "ids", "sequence_id", "offset"]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in clash)
+    long = " ".join(prose(40, 700 + k % 50) for k in range(400))
+    texts = [prose(80, k) for k in range(12)] + [prose(80, 3), None, "", long, "1 2 3", prose(80, 900) + " password=abcdefghijklmnop " + prose(9, 1)]
+    rows = [(k if k != 2 else None, t, "xx" if k % 4 else None, None, None, *("c" for _ in clash)) for k, t in enumerate(texts)]
+    rows += [rows[5], rows[5], rows[2]]
+    spark.createDataFrame([(1, prose(30, 5000)), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, data in (("none", []), ("odd", rows)):
+        seen = spark.createDataFrame(data, kinds).repartition(3)
+        columns = seen.columns
+        for k, (step, stage) in enumerate(corpus_pipeline.STAGES):
+            seen = stage(spark, seen, str(tmp_path))
+            assert k == 4 or seen.columns == columns, step
+            seen.write.parquet(f"{tmp_path}/{name}{k}")
+            seen = spark.read.parquet(f"{tmp_path}/{name}{k}")
+        ids = [x["doc_id"] for x in seen.select("doc_id").distinct().collect()]
+        assert sorted(map(str, ids)) == sorted(map(str, [] if name == "none" else [*(k for k in range(12) if k != 2), None, 15, 17]))
+    left = {x["doc_id"]: x for x in spark.read.parquet(f"{tmp_path}/odd3").collect()}
+    assert "[SECRET]" in left[17]["text"] and left[15]["text"] == long and left[5]["hit"] == "c"
