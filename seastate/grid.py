@@ -8,6 +8,7 @@ from functools import cached_property
 
 import numpy as np
 
+#: Gravity, and the coefficients of the dispersion polynomial below. Fixed values.
 GRAVITY = 9.81
 
 

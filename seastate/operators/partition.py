@@ -12,6 +12,7 @@ from . import shape as SH
 from . import stats as ST
 from . import watershed as W
 
+#: Usual settings of the methods. Fixed values.
 IHMAX, ANGLE_MAX, HS_MIN, KAPPA, ZETA, SWELLS, WINDOW, WSCUT, AGEFAC = 100, 30.0, 0.2, 0.4, 0.65, 3, 3, 0.3333, 1.7
 
 

@@ -169,6 +169,26 @@ def interp_like(frame: SpectraFrame, other: SpectraFrame, maintain_m0: bool = Tr
     return interp(frame, other.grid.freq, other.grid.dir, maintain_m0)
 
 
+def interp_plane(frame: SpectraFrame, freq=None, dir=None, method: str = "linear") -> SpectraFrame:
+    """Spectra on other frequencies and directions, without keeping energy; what lies outside the frequencies is 0.
+
+    With the same directions: "linear" by frequency. With others: "nearest", in the plane whose radius is frequency.
+    One matrix product a batch either way.
+    """
+    old = frame.grid
+    new = Grid(tuple(freq) if freq is not None else old.freq, tuple(dir) if dir is not None else old.dir)
+    if new.dir == old.dir:
+        order = np.argsort(old.f, kind="stable")
+        wf = np.zeros((new.nf, old.nf))
+        wf[:, order] = linear_weights(old.f[order], new.f)
+        return frame.apply(lambda x, _: np.einsum("af,nfd->nad", wf, x), new)
+    if method != "nearest":
+        raise ValueError("other directions need the method nearest, or interp")
+    plane = lambda g: (g.f[:, None] * np.exp(1j * np.radians(270 - g.theta))[None, :]).ravel()
+    near = np.array([np.abs(plane(old) - z).argmin() for z in plane(new.directional() and new)])
+    return frame.apply(lambda x, _: x.reshape(len(x), -1)[:, near].reshape(-1, new.nf, new.nd), new)
+
+
 def rotate(frame: SpectraFrame, angle: float) -> SpectraFrame:
     """Turn clockwise by degrees, then regrid to the old directions; m0 is kept."""
     g = frame.grid.directional()

@@ -363,6 +363,24 @@ def interp_like(spark, sf):
     return binned(SH.interp_like(fr, SpectraFrame(fr.df, _REGRID), maintain_m0=False), ["vec_id"])
 
 
+_PLANE = Grid((0.055, 0.1, 0.2, 0.41), (10.0, 100.0, 200.0, 300.0))
+_OUT = ", ".join(f"({a}, {b}, {f!r}, {d!r})" for a, f in enumerate(_PLANE.freq) for b, d in enumerate(_PLANE.dir))
+
+
+@query("interp_nearest", emb(f""", out(a, bb, g, t) AS (VALUES {_OUT}), pick AS (SELECT a, bb, i, j FROM (SELECT a, bb, i, j, row_number() OVER (PARTITION BY a, bb ORDER BY
+  pow(g * cos(radians(270 - t)) - f * cos(radians(270 - th)), 2) + pow(g * sin(radians(270 - t)) - f * sin(radians(270 - th)), 2)) AS rn FROM out CROSS JOIN fr CROSS JOIN di) WHERE rn = 1)
+SELECT k AS vec_id, CAST(a AS INT) AS i, CAST(bb AS INT) AS j, round(n, 6) + 0.0 AS value FROM pick JOIN b USING (i, j)""").replace("raw) ,", "raw),"))
+def interp_nearest(spark, sf):
+    return binned(SH.interp_plane(D.embeddings(spark, sf), _PLANE.freq, _PLANE.dir, "nearest"), ["vec_id"])
+
+
+@query("interp_frequencies", emb("""SELECT k AS vec_id, CAST(q AS INT) AS i, CAST(j AS INT) AS j, round(coalesce(max(CASE WHEN i = lo THEN n * (1 - w) END) + max(CASE WHEN i = lo + 1 THEN n * w END), 0), 6) + 0.0 AS value
+FROM b JOIN (SELECT q, max(CASE WHEN f <= x THEN i END) AS lo, any_value(x) AS x FROM (SELECT unnest([0, 1, 2]) AS q, unnest([0.06e0, 0.11e0, 0.9e0]) AS x) CROSS JOIN fr GROUP BY q) ON true
+JOIN (SELECT i AS i0, f AS f0, lead(f) OVER (ORDER BY i) AS f1 FROM fr) ON i0 = lo CROSS JOIN LATERAL (SELECT (x - f0) / (f1 - f0) AS w) GROUP BY k, q, j"""))
+def interp_frequencies(spark, sf):
+    return binned(SH.interp_plane(D.embeddings(spark, sf), (0.06, 0.11, 0.9)), ["vec_id"])
+
+
 @query("from_long", emb("SELECT k AS vec_id, round(hs, 6) + 0.0 AS hs FROM h"))
 def from_long(spark, sf):
     fr = D.embeddings(spark, sf)

@@ -38,6 +38,9 @@ def ordered(frame: SpectraFrame, *by: str) -> Iterable[dict]:
         yield r.asDict()
 
 
+#: Header lines, units and column names below are those of the file formats. Fixed values.
+
+
 def swan_header(g: Grid, points: list[tuple[float, float]], timed: bool) -> str:
     line = lambda value, note: f"{value:<40}{note}\n"
     out = [line("SWAN   1", "Swan standard spectral file"), "$   Created by seastate\n"]
