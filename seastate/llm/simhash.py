@@ -190,6 +190,8 @@ def near_duplicates(fps: DataFrame, id_col: str, radius: int = 2) -> DataFrame:
 
     Equal fingerprints always share a component. Null ids are never the smallest; a component of null ids only has a
     null component_id. Repeated rows stay; an empty table gives no rows. fps is read several times: pass a written table.
+    The last join brings each fingerprint's label, one row, to its rows: where a fingerprint has a large part of all rows
+    (empty texts, copies), both sides are plain exchanges that adaptive execution splits.
     """
     spark = fps.sparkSession
     distinct = materialize(spark, fps.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
@@ -220,7 +222,7 @@ def rows_kept(df: DataFrame, rows: DataFrame, found: DataFrame, id_col: str, tex
     spark, key = df.sparkSession, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     chosen = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id", "label").agg(F.min("h").alias("h")).select("id", "h").distinct()
     chosen = materialize(spark, chosen, "chosen")
-    k = "__h"
+    k = next(n for i in range(len(df.columns) + 1) if (n := f"__h{i}") not in {c.lower() for c in df.columns})
     out = df.withColumn(k, key).join(chosen, F.col(id_col).eqNullSafe(chosen["id"]) & (F.col(k) == chosen["h"]), "left_semi")
     if not rows.groupBy("id", "h").count().where("count > 1").isEmpty():
         out = out.dropDuplicates([id_col, k])
