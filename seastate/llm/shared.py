@@ -20,7 +20,7 @@ from ..session import prepare
 #: Used only where the session names no folder, as in tests on one machine.
 LOCAL_FALLBACK = "file:///tmp/checkpoints/seastate"
 #: Rows and bytes of an Arrow batch that holds whole texts; a longer text has a batch of its own.
-TEXT_ROWS, TEXT_BYTES = 1000, 4 << 20
+TEXT_ROWS, TEXT_BYTES = 1000, 2 << 20
 
 #: What this Python worker keeps between tasks: the caches of one operator.
 _kept: dict[str, Any] = {}
