@@ -471,3 +471,52 @@ def test_passages_against_all_pairs(spark, monkeypatch, rare):
     same = sum(got[k]["class_id"] == classes[k] for k, x in enumerate(want) if x and k in got)
     print(f"recall of words {recall:.4f}, of documents {len(got)} of {sum(map(bool, want))}, classes {same}")
     assert recall >= 0.97 and same >= 0.97 * sum(map(bool, want))
+
+
+def test_passages_at_the_threshold(spark, monkeypatch):
+    """Passages of 51 words with a word changed amid them (similarity 42/52), with a repeated line on one side, and frequent ones: all ranges and classes are those of all pairs."""
+    r = random.Random(5)
+    texts = []
+    for k in range(250):
+        own = prose(51, 30000 + k).split()
+        other = [*own[: 5 + k % 40], f"changed{k}", *own[6 + k % 40 :]]
+        if k % 10 == 0:
+            other = [*own[:20], *own[12:20], *own[20:]]  # eight words twice: passages of fewer distinct tokens
+        texts += [f"{prose(30, 31000 + 4 * k + i)} {' '.join(w)} {prose(30, 31002 + 4 * k + i)}" for i, w in enumerate((own, other))]
+    base = prose(120, 32000).split()
+    for k in range(80):  # a frequent passage; some meet few others, as they are edited twice
+        own = list(base)
+        for at in r.sample(range(120), r.choice((1, 2, 3, 4))):
+            own[at] = f"e{k}x{at}"
+        texts.append(" ".join(own))
+    line = prose(44, 33000)  # frequent and too short for itself
+    texts += [f"{prose(40, 33100 + k)} {line} {prose(40, 33200 + k)}" for k in range(60)]
+    want, classes = all_pairs_of_passages(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for often in (2, 3):
+        monkeypatch.setattr(passages, "OFTEN", often)
+        got = {x["doc_id"]: (x["class_id"], [tuple(s) for s in x["passages"]]) for x in passages.near_duplicate_passages(df).collect()}
+        assert got == {k: (classes[k], x) for k, x in enumerate(want) if x}
+
+
+def test_least_windows():
+    """Against all windows; the windows of the least token alone are the compact windows of the Cartesian tree."""
+    rng, least = np.random.default_rng(8), 12
+    for _ in range(30):
+        sizes = rng.integers(12, 60, 3)
+        t = rng.integers(0, rng.integers(8, 4000), sizes.sum()).astype(np.uint64)
+        key = passages.order(t, np.sort(rng.permutation(np.unique(t))[:5]))
+        counts = np.array([1, *(passages.least_shared(d, 0.8) for d in range(1, least + 1))])
+        got = [x for q, s, e, kind in passages.least_windows(t, key, sizes, least, counts) for x in zip(q.tolist(), s.tolist(), e.tolist(), [kind] * len(q))]
+        begins = np.concatenate([[0], sizes.cumsum()])
+        for b, end in zip(begins, begins[1:]):
+            for i in range(b, end - least + 1):
+                own = sorted({(k, x) for k, x in zip(key[i : i + least].tolist(), t[i : i + least].tolist())})
+                for _, x in own[: passages.least_shared(len(own), 0.8)]:
+                    assert any(t[q] == x and s <= i <= e and kind == (len(own) < least) for q, s, e, kind in got)
+    n, least = 80, 10
+    t = rng.permutation(n).astype(np.uint64)
+    key = passages.order(t, np.zeros(0, np.uint64))
+    l, c, r = passages.compact_windows(key, np.arange(n), n, least)
+    (q, s, e, _), = passages.least_windows(t, key, np.array([n]), least, np.ones(least + 1, int))
+    assert list(zip(q, s, e)) == [(c, max(l, c - least + 1), min(c, r - least + 1)) for l, c, r in zip(l, c, r)]
