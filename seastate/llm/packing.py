@@ -25,8 +25,8 @@ from .tokens import CACHE_CHARS, Cache, byte_alphabet
 #: Pieces that one packing group holds on average: enough for windows to come out even, few enough for one task.
 GROUP_PIECES = 2048
 
-#: Words that a cache generation keeps.
-WORDS = 250_000
+#: Words that a cache generation keeps: two workers of an executor hold two generations of three caches each.
+WORDS = 100_000
 #: The part of a window that the first try leaves free.
 SLACK = 0.0035
 #: One text of so many is cut finely, by the CRC-32 of its id and token ids.

@@ -520,3 +520,19 @@ def test_least_windows():
     l, c, r = passages.compact_windows(key, np.arange(n), n, least)
     (q, s, e, _), = passages.least_windows(t, key, np.array([n]), least, np.ones(least + 1, int))
     assert list(zip(q, s, e)) == [(c, max(l, c - least + 1), min(c, r - least + 1)) for l, c, r in zip(l, c, r)]
+
+
+def test_packing_caches_stay_small():
+    """What a worker's caches of word ids hold after many distinct words."""
+    import tracemalloc
+
+    ids = packing.WordIds(WORD)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    spelled = lambda k: "".join(letters[k // 26**i % 26] for i in range(5))
+    tracemalloc.start()
+    for k in range(0, 520_000, 2000):
+        ids.batch([" ".join(map(spelled, range(k, k + 2000)))])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    print(f"held {held / 1e6:.0f} MB")
+    assert held < 40e6
