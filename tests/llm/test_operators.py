@@ -499,6 +499,53 @@ def test_passages_at_the_threshold(spark, monkeypatch):
         assert got == {k: (classes[k], x) for k, x in enumerate(want) if x}
 
 
+def test_passages_of_repeated_words(spark, monkeypatch):
+    """Texts of words that are repeated again and again, some of them common: all ranges and classes are those of all pairs, and few pairs are compared."""
+    r = random.Random(9)
+    often, texts = ["the", "and", "of"], []
+    for k in range(240):
+        own = [*prose(3, 40000 + k).split(), r.choice(often)]
+        r.shuffle(own)
+        texts.append(" ".join(w for w in own for _ in range(r.randint(8, 40))))
+    for k in range(12):  # similar ones: of one token, of few and of more than FEW
+        a, b = prose(2, 41000 + k // 2).split()
+        texts += [f"{a} " * (60 + k), f"{a} " * 30 + f"{b} " * (30 + k % 2), f"{prose(14 + 4 * (k // 2), 41100 + k // 2)} " * (5 + k % 2)]
+    compared, verified = [], passages.verified
+    monkeypatch.setattr(passages, "verified", lambda found, *x: compared.append(found.count()) or verified(found, *x))
+    want, classes = all_pairs_of_passages(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: (x["class_id"], [tuple(s) for s in x["passages"]]) for x in passages.near_duplicate_passages(df).collect()}
+    print(f"{sum(compared)} pairs compared, {len(got)} documents")
+    assert got == {k: (classes[k], x) for k, x in enumerate(want) if x} and len(got) > 30
+    assert sum(compared) < 100
+
+
+def test_pairs_that_cannot_be_similar():
+    """Against all runs: bands of offsets, and what is left out before."""
+    rng, least, cases, found = np.random.default_rng(4), 12, [], 0
+    for k in range(300):
+        base = rng.permutation(1000)[:60].astype(np.int64)
+        y = np.concatenate([base[:20], np.arange(2000, 2000 + k % 4), base[20 + k % 3 : 45], base[20:22], base[45:]]) if k % 5 else np.roll(base, k)
+        y[rng.integers(0, len(y), k % 8)] = 3000 + np.arange(k % 8)
+        x = base if k % 3 else np.repeat(base[:20], 3)
+        cases.append((x, y if k % 7 else y[:9]))
+    sizes, sizes2 = (np.array([len(c[i]) for c in cases]) for i in (0, 1))
+    kept = passages.hopeful(np.concatenate([x for x, _ in cases]), sizes, np.concatenate([y for _, y in cases]), sizes2, least, 0.8)
+    for (x, y), hope in zip(cases, kept):
+        good = set(), set()
+        for i in range(len(x) - least + 1):
+            for k in range(len(y) - least + 1):
+                p, q = set(x[i : i + least].tolist()), set(y[k : k + least].tolist())
+                if len(p & q) >= 0.8 * len(p | q):
+                    good[0].add(i), good[1].add(k)
+        want = tuple(passages.spans(np.array(sorted(g), int), least) for g in good)
+        assert hope or not good[0]
+        got = passages._banded(x, y, least, 0.8) if len(y) >= least else None
+        assert got in (None, want)
+        found += got is not None and bool(good[0])
+    assert found > 50 and not kept.all()
+
+
 def test_least_windows():
     """Against all windows; the windows of the least token alone are the compact windows of the Cartesian tree."""
     rng, least = np.random.default_rng(8), 12
