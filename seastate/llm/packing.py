@@ -25,8 +25,8 @@ from .tokens import CACHE_CHARS, Cache, byte_alphabet
 #: Pieces that one packing group holds on average: enough for windows to come out even, few enough for one task.
 GROUP_PIECES = 2048
 
-#: Words that a cache generation keeps: two workers of an executor hold two generations of three caches each.
-WORDS = 100_000
+#: Words, with their parts, that a cache generation keeps: two workers of an executor hold two generations each.
+WORDS = 150_000
 #: The part of a window that the first try leaves free.
 SLACK = 0.0035
 #: One text of so many is cut finely, by the CRC-32 of its id and token ids.
@@ -61,7 +61,7 @@ class WordIds:
         self.by_word &= not spec["post_processor"] and not any(t["normalized"] for t in spec["added_tokens"])
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)", re.IGNORECASE).search
-        self.cores, self.tails, self.words = Cache(self.core, WORDS), Cache(self.any, WORDS), Cache(self.word, WORDS)
+        self.words, self.tails = Cache(self.word, WORDS), Cache(self.any, WORDS // 100)
 
     def core(self, letters: str) -> bytes:
         """Ids of a run of small Latin-1 letters: one pre-token, which no normalizer changes, by the model alone."""
@@ -77,7 +77,9 @@ class WordIds:
         if m is None:
             return self.any(word)
         letters, signs = m.groups()
-        return self.cores[letters] + self.tails[signs] if signs else self.cores[letters]
+        if letters == word:
+            return self.core(letters)
+        return self.words[letters] + self.tails[signs] if signs else self.words[letters]
 
     def batch(self, texts: list[str]) -> list[bytes]:
         known, out = self.words.__getitem__, []

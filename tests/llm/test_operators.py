@@ -583,3 +583,15 @@ def test_packing_caches_stay_small():
     tracemalloc.stop()
     print(f"held {held / 1e6:.0f} MB")
     assert held < 40e6
+
+
+def test_packing_computes_a_word_once(monkeypatch):
+    """Words and their parts share a cache, so that it holds more of them."""
+    made, word = [], packing.WordIds.word
+    monkeypatch.setattr(packing.WordIds, "word", lambda self, x: made.append(x) or word(self, x))
+    ids = packing.WordIds(WORD)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    spelled = ["".join(letters[k // 26**i % 26] for i in range(5)) for k in range(140_000)]
+    first, second = (ids.batch([" ".join(spelled)]) for _ in range(2))
+    assert first == second and len(made) == len(spelled)
+    assert ids.batch(["ab, ab Ab! é É."]) == [b"".join(map(ids.any, ["ab", ",", "ab", "ab", "!", "é", "é", "."]))]
