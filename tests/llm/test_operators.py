@@ -520,6 +520,22 @@ def test_passages_of_repeated_words(spark, monkeypatch):
     assert sum(compared) < 100
 
 
+def test_passages_with_a_line_just_too_short(spark, monkeypatch):
+    """A line of 45 words in many texts, some of which repeat other words beside a part of it: few pairs are compared, none is lost."""
+    monkeypatch.setattr(passages, "RARE", 4)
+    line, beside = prose(45, 1).split(), prose(60, 2).split()
+    texts = [" ".join([prose(30, 100 + k), *line, prose(30, 200 + k)]) for k in range(60)]
+    texts += [" ".join([prose(9, 300 + k), *line[:25], *beside[:20], *beside[10:20], *beside[10:20], prose(9, 400 + k)]) for k in range(30)]
+    texts += [" ".join([*line, *line[:30], prose(9, 500 + k)]) for k in range(3)]
+    compared, verified = [], passages.verified
+    monkeypatch.setattr(passages, "verified", lambda found, *x: compared.append(found.count()) or verified(found, *x))
+    want, classes = all_pairs_of_passages(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: (x["class_id"], [tuple(s) for s in x["passages"]]) for x in passages.near_duplicate_passages(df).collect()}
+    assert got == {k: (classes[k], x) for k, x in enumerate(want) if x}
+    assert sum(compared) < 1300
+
+
 def test_pairs_that_cannot_be_similar():
     """Against all runs: bands of offsets, and what is left out before."""
     rng, least, cases, found = np.random.default_rng(4), 12, [], 0
