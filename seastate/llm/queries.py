@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import chat, decontaminate, langid, media, packing, passages, secrets, simhash, tokens, warc
+from . import chat, decontaminate, infill, langid, media, packing, passages, secrets, simhash, tokens, warc
 from .shared import materialize
 
 
@@ -85,6 +85,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut for filling in its middle, by seeds of its id, with checksums of the output and of the text rebuilt from it."""
+    out = infill.transform(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(), 256).alias("restored_sha256"))
+
+
 def queries():
     return {
         "op1_decontamination": op1_decontamination,
@@ -97,6 +103,7 @@ def queries():
         "op8_secret_scans": op8_secret_scans,
         "op9_media_columns": op9_media_columns,
         "op10_token_counts": op10_token_counts,
+        "op12_fill_in_middle": op12_fill_in_middle,
     }
 
 
@@ -104,4 +111,5 @@ def oracle_sql():
     return {
         "op5_warc": OP5_SQL,
         "op6_chat_formatting": chat.SQL,
+        "op12_fill_in_middle": infill.SQL,
     }
