@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import chat, decontaminate, infill, langid, media, packing, passages, secrets, simhash, tokens, warc
+from . import audit, chat, decontaminate, infill, langid, media, packing, passages, secrets, simhash, tokens, warc
 from .shared import materialize
 
 
@@ -85,6 +85,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order of the five filters over all documents, step by step and source by source."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut for filling in its middle, by seeds of its id, with checksums of the output and of the text rebuilt from it."""
     out = infill.transform(table(spark, sf_dir, "documents"))
@@ -103,6 +108,7 @@ def queries():
         "op8_secret_scans": op8_secret_scans,
         "op9_media_columns": op9_media_columns,
         "op10_token_counts": op10_token_counts,
+        "op11_filter_audit": op11_filter_audit,
         "op12_fill_in_middle": op12_fill_in_middle,
     }
 
@@ -111,5 +117,6 @@ def oracle_sql():
     return {
         "op5_warc": OP5_SQL,
         "op6_chat_formatting": chat.SQL,
+        "op11_filter_audit": audit.SQL,
         "op12_fill_in_middle": infill.SQL,
     }
