@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import audit, chat, decontaminate, infill, langid, media, packing, passages, secrets, simhash, tokens, warc
+from . import audit, chat, decontaminate, infill, langid, media, packing, passages, secrets, simhash, suffixes, tokens, warc
 from .shared import materialize
 
 
@@ -96,6 +96,13 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(), 256).alias("restored_sha256"))
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that 400-byte strings standing elsewhere too cover."""
+    out = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries():
     return {
         "op1_decontamination": op1_decontamination,
@@ -110,6 +117,7 @@ def queries():
         "op10_token_counts": op10_token_counts,
         "op11_filter_audit": op11_filter_audit,
         "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_suffix_array_dedup": op13_suffix_array_dedup,
     }
 
 
