@@ -13,7 +13,7 @@ from ..frame import EFTH, SpectraFrame
 from ..grid import Grid
 from ..operators import stats as ST
 from ..session import scratch
-from ..sources import models, multi, netcdf, text, writers
+from ..sources import models, multi, netcdf, plugins, text, writers
 from ..streaming import tracking as STR
 from . import derived as D
 
@@ -184,6 +184,37 @@ def stream_stats(spark, sf_dir):
     return spark.read.schema(out.schema).parquet(f"{path}/out")
 
 
+@query("source_swan", from_bins(rounded_grid(5), "round_even(n / (m / 9998), 0) * CAST(printf('%.8e', m / 9998) AS DOUBLE)"))
+def source_swan(spark, sf_dir):
+    """Written and read by the registered source; files are read in ranges of bytes."""
+    path = scratch(spark, "source")
+    plugins.save(placed(spark, sf_dir), path, ["site"])
+    return described(plugins.load(spark, "swan", path, partitionBytes=20_000), ["hs"])
+
+
+@query("source_filter", "SELECT k % 50 AS grp, count(*) AS n, min(k // 50) AS first, max(k // 50) AS last FROM (SELECT vec_id AS k FROM embeddings) WHERE k // 50 >= 3 AND k // 50 < 12 AND k % 50 <= 40 GROUP BY k % 50")
+def source_filter(spark, sf_dir):
+    """Two columns of the files, with filters that the source applies before it reads a spectrum."""
+    path = scratch(spark, "source")
+    plugins.save(placed(spark, sf_dir), path, ["site"])
+    rows = spark.read.format("seastate.swan").schema("time timestamp_ntz, lon double").load(path)
+    rows = rows.where("time >= timestamp_ntz'2020-01-01 03:00:00' AND time < timestamp_ntz'2020-01-01 12:00:00' AND lon <= 40")
+    step = F.timestamp_diff("HOUR", F.expr("timestamp_ntz'2020-01-01 00:00:00'"), F.col("time"))
+    return rows.groupBy(F.round("lon").cast("long").alias("grp")).agg(F.count("*").alias("n"), F.min(step).alias("first"), F.max(step).alias("last"))
+
+
+@query("source_stream", from_bins(rounded_grid(5), "round_even(n / (m / 9998), 0) * CAST(printf('%.8e', m / 9998) AS DOUBLE)"))
+def source_stream(spark, sf_dir):
+    """Files that arrive in two lots, as a stream that stops and starts again."""
+    path, all_of_them = scratch(spark, "stream"), placed(spark, sf_dir)
+    for lot in (0, 1):
+        plugins.save(all_of_them.with_df(all_of_them.df.where(F.pmod(F.xxhash64("site"), F.lit(2)) == lot)), f"{path}/in", ["site"], mode="append")
+        rows = spark.readStream.format("seastate.swan").options(path=f"{path}/in", log=f"{path}/log", **plugins.grid_options(rounded_grid(5))).load()
+        out = rows.select("time", "lon", EFTH).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+        out.trigger(availableNow=True).start().awaitTermination()
+    return described(all_of_them.with_df(spark.read.parquet(f"{path}/out"), rounded_grid(5)), ["hs"])
+
+
 @query("stream_latest", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
 def stream_latest(spark, sf_dir):
     """The latest row of each key from a stream, batch by batch."""

@@ -13,6 +13,7 @@ import math
 import os
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -49,22 +50,30 @@ def fourier(theta: np.ndarray, r1, a1, r2, a2, weighted: bool = False) -> np.nda
     return d / np.pi * np.pi / 180
 
 
-def parse_swan(text: str, name: str = "", dirorder: bool = True) -> Parsed:
-    """SWAN spectra: NODATA is NaN, ZERO is 0; cartesian directions become nautical, energies in J are divided by rho g."""
-    lines = iter(line for line in text.splitlines() if not line.startswith("$"))
-    freq, dirs, cartesian, points, timed, factor, spherical = [], [], False, [], False, 1.0, False
+@dataclass(frozen=True)
+class SwanHead:
+    """What a SWAN file's head says: the grid in the order that rows have, that order, the places, the factor of densities."""
+
+    grid: Grid
+    order: tuple[int, ...]
+    points: tuple[tuple[float, float], ...]
+    timed: bool
+    factor: float
+
+
+def swan_head(lines: Iterator[str], dirorder: bool = True) -> SwanHead:
+    """The head, taken from lines without comments; they stand at the first record then."""
+    freq, dirs, cartesian, points, timed, factor = [], [], False, [], False, 1.0
     word = lambda line: line.split()[0].upper()
     if word(next(lines)) != "SWAN":
         raise ValueError("not a SWAN file")
     while True:
-        line = next(lines)
-        key = word(line)
+        key = word(next(lines))
         if key == "TIME":
             timed = True
             next(lines)
         elif key in ("LONLAT", "LOCATIONS"):
-            spherical = key == "LONLAT"
-            points = [numbers(next(lines))[:2] for _ in range(int(next(lines).split()[0]))]
+            points = [tuple(numbers(next(lines))[:2]) for _ in range(int(next(lines).split()[0]))]
         elif key in ("AFREQ", "RFREQ"):
             freq = [float(next(lines).split()[0]) for _ in range(int(next(lines).split()[0]))]
         elif key in ("NDIR", "CDIR"):
@@ -80,32 +89,55 @@ def parse_swan(text: str, name: str = "", dirorder: bool = True) -> Parsed:
     d = np.array(dirs)
     d = np.mod(270 - d, 360) if cartesian else np.mod(d, 360)
     order = np.argsort(d, kind="stable") if dirorder else np.arange(len(d))
-    grid = Grid(tuple(freq), tuple(d[order]) if dirs else None)
-    shape, rows, time = (grid.nf, grid.nd), [], None
+    return SwanHead(Grid(tuple(freq), tuple(d[order]) if dirs else None), tuple(order.tolist()) if dirs else (0,), tuple(points), timed, factor)
+
+
+def swan_time(line: str) -> dt.datetime:
+    return dt.datetime.strptime(line.split()[0][:15], "%Y%m%d.%H%M%S")
+
+
+def swan_records(lines: Iterator[str], head: SwanHead, wanted: Callable[[dict], bool] | None = None, dense: bool = True) -> Iterator[dict]:
+    """Rows of the records that follow: NODATA is NaN, ZERO is 0. Rows that aren't wanted by time and place, and all if not dense, are passed over unread."""
+    g, order = head.grid, list(head.order)
+    shape, time = (g.nf, g.nd), None
     while True:
-        if timed:
+        if head.timed:
             stamp = next(lines, None)
             if stamp is None or not stamp.strip():
-                break
-            time = dt.datetime.strptime(stamp.split()[0][:15], "%Y%m%d.%H%M%S")
-        for k, (x, y) in enumerate(points):
-            kind = word(next(lines))
-            if kind == "NODATA":
+                return
+            time = swan_time(stamp)
+        for k, (x, y) in enumerate(head.points):
+            row = {"time": time, "site": str(k), "lon": x, "lat": y}
+            read = wanted is None or wanted(row)
+            kind = next(lines).split()[0].upper()
+            if kind not in ("NODATA", "ZERO"):
+                scale, own = next(lines), [next(lines) for _ in range(g.nf)]
+            if not read:
+                continue
+            if dense and kind == "NODATA":
+                row[EFTH] = np.full(shape, np.nan)
+            elif dense and kind == "ZERO":
+                row[EFTH] = np.zeros(shape)
+            elif dense:
                 block = np.full(shape, np.nan)
-            elif kind == "ZERO":
-                block = np.zeros(shape)
-            else:
-                scale, own = float(next(lines).split()[0]), []
-                for _ in range(grid.nf):
+                for i, line in enumerate(own):
                     try:
-                        own.append(numbers(next(lines)))
+                        values = numbers(line)
                     except ValueError:
-                        own.append([np.nan] * grid.nd)
-                block = np.array([r if len(r) == grid.nd else [np.nan] * grid.nd for r in own]) * scale * factor
-            rows.append({"time": time, "site": str(k), "lon": x, "lat": y, EFTH: block[:, order]})
-        if not timed:
-            break
-    return grid, rows
+                        continue
+                    if len(values) == g.nd:
+                        block[i] = values
+                row[EFTH] = (block * float(scale.split()[0]) * head.factor)[:, order]
+            yield row
+        if not head.timed:
+            return
+
+
+def parse_swan(text: str, name: str = "", dirorder: bool = True) -> Parsed:
+    """SWAN spectra: NODATA is NaN, ZERO is 0; cartesian directions become nautical, energies in J are divided by rho g."""
+    lines = iter(line for line in text.splitlines() if not line.startswith("$"))
+    head = swan_head(lines, dirorder)
+    return head.grid, list(swan_records(lines, head))
 
 
 def parse_octopus(text: str, name: str = "") -> Parsed:
