@@ -98,12 +98,40 @@ def _uri(path: str) -> str:
 @query("netcdf_files", EXACT)
 def netcdf_files(spark, sf_dir):
     folder = _uri(scratch(spark, "netcdf"))
-    netcdf.to_netcdf(placed(spark, sf_dir), folder, ["site"])
+    netcdf.to_netcdf(placed(spark, sf_dir), folder, ["site"], packed=False)
     return described(netcdf.read(spark, folder + "/*.nc"), ["hs"])
 
 
+@query("netcdf_packed", from_bins(D.EMB, "round_even(n / 1e-5, 0) * 1e-5"))
+def netcdf_packed(spark, sf_dir):
+    """Densities as whole numbers, read in ranges of four records."""
+    folder = _uri(scratch(spark, "netcdf"))
+    netcdf.to_netcdf(placed(spark, sf_dir), folder, ["site"])
+    return described(netcdf.read(spark, folder + "/*.nc", range_bytes=4 * 4 * D.EMB.size), ["hs"])
+
+
+@query("netcdf_ranges", "WITH r AS (SELECT vec_id AS k, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings) SELECT k % 50 AS grp, k // 50 AS step, r AS position FROM r")
+def netcdf_ranges(spark, sf_dir):
+    """One file of all spectra, written by one task as they come in order and read by many, each its own records."""
+    folder = _uri(scratch(spark, "netcdf"))
+    fr = D.embeddings(spark, sf_dir, "grp", "step")
+    time = F.expr("timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(0, 0, 0, vec_id)")
+    netcdf.to_netcdf(fr.with_df(fr.df.withColumns({"time": time, "all": F.lit("all")})), folder, ["all"])
+    back = netcdf.read(spark, folder, tasks=16, range_bytes=20 * 4 * D.EMB.size).df
+    rows = ST.stats(SpectraFrame(back, D.EMB), ["hs"]).withColumn("vec_id", F.timestamp_diff("SECOND", F.expr("timestamp_ntz'2020-01-01 00:00:00'"), F.col("time")))
+    known = D.table(spark, sf_dir, "embeddings").select("vec_id")
+    return rows.join(known, "vec_id").where("hs > 0").select(F.col("grp").cast("long").alias("grp"), F.col("step").cast("long").alias("step"), F.col("vec_id").alias("position"))
+
+
 @query("ww3_files", EXACT)
 def ww3_files(spark, sf_dir):
+    folder = _uri(scratch(spark, "ww3"))
+    netcdf.to_netcdf(placed(spark, sf_dir), folder, ["site"], "ww3", packed=False)
+    return described(netcdf.read(spark, folder + "/*.nc", "ww3"), ["hs"])
+
+
+@query("ww3_packed", from_bins(D.EMB, "round_even(n * (180 / pi()) / 1e-5, 0) * 1e-5 * (pi() / 180)"))
+def ww3_packed(spark, sf_dir):
     folder = _uri(scratch(spark, "ww3"))
     netcdf.to_netcdf(placed(spark, sf_dir), folder, ["site"], "ww3")
     return described(netcdf.read(spark, folder + "/*.nc", "ww3"), ["hs"])

@@ -42,6 +42,8 @@ def _kept(df: DataFrame) -> DataFrame:
 
 def from_ww3(df: DataFrame, freq, dir) -> SpectraFrame:
     """Densities per radian, directions going to."""
+    if "station_name" in df.columns:
+        df = df.drop("station").withColumnRenamed("station_name", "station")
     df = _renamed(df, NAMES["ww3"]).withColumn(EFTH, _times(math.pi / 180))
     return SpectraFrame(_kept(df), Grid(tuple(freq), tuple((d + 180) % 360 for d in dir)))
 

@@ -43,7 +43,7 @@ from ..frame import EFTH, SpectraFrame
 from ..grid import Grid
 from ..session import prepare
 from . import files as FS
-from . import text, writers
+from . import netcdf, text, writers
 
 #: Columns of every format; those that a file doesn't have are null. freq and dir are the row's own grid.
 COLUMNS = "time timestamp_ntz, site string, lat double, lon double, wspd double, wdir double, dpt double, file string, freq array<double>, dir array<double>, efth array<double>"
@@ -420,7 +420,55 @@ class JsonSource(FileSource):
     engine = "json"
 
 
-SOURCES: list[type[DataSource]] = [SwanSource, OctopusSource, StationSource, FunwaveSource, FunwaveNewSource, TriaxysSource, NdbcSource, DatawellSource, ObscapeSource, SpotterSource, AwacSource, JsonSource]
+class NetcdfReader(DataSourceReader):
+    """Rows of NetCDF files under their own names. Small files are read whole, without a look at them in planning; of large ones the header says how they are cut."""
+
+    def __init__(self, schema: T.StructType, options: dict):
+        self.schema, self.path = schema, options["path"]
+        self.most = int(options.get("partitionBytes", PARTITION_BYTES))
+        self.value, *names = netcdf.SPECTRAL[options.get("kind", "native")]
+        self.names = [n for n in names if n]
+
+    def partitions(self) -> list[Pieces]:
+        out, fs = [], FS.system(re.match(r"[^*?{]*", self.path)[0])[0]
+        for f in FS.found(self.path):
+            parts = [None]
+            if f.size > self.most:
+                with fs.open_input_file(f.path) as opened:
+                    heads = netcdf.read_layout(opened).heads
+                parts = list(netcdf.ranges(heads[self.value], netcdf.described(heads, self.value, self.names), self.most))
+            out += [Pieces([(f.path, part)]) for part in parts]
+        return out or [Pieces([])]
+
+    def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
+        fs = FS.system(re.match(r"[^*?{]*", self.path)[0])[0]
+        for path, part in partition.value:
+            with fs.open_input_file(path) as f:
+                rows = netcdf.read_rows(f, netcdf.read_layout(f), self.value, self.names, part)
+            yield pa.RecordBatch.from_pandas(netcdf.in_columns(rows, self.schema), to_arrow_schema(self.schema), preserve_index=False)
+
+
+class NetcdfSource(DataSource):
+    """Classic NetCDF files; options: path, kind (of netcdf.SPECTRAL), partitionBytes. The first file's header tells the columns, or the schema that is asked for."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "seastate.netcdf"
+
+    def schema(self) -> T.StructType:
+        path = self.options["path"]
+        found = FS.found(path)
+        if not found:
+            raise FileNotFoundError(path)
+        value, *names = netcdf.SPECTRAL[self.options.get("kind", "native")]
+        with FS.system(re.match(r"[^*?{]*", path)[0])[0].open_input_file(found[0].path) as f:
+            return netcdf.columns_of(netcdf.read_layout(f), value, [n for n in names if n])
+
+    def reader(self, schema: T.StructType) -> NetcdfReader:
+        return NetcdfReader(schema, self.options)
+
+
+SOURCES: list[type[DataSource]] = [NetcdfSource, SwanSource, OctopusSource, StationSource, FunwaveSource, FunwaveNewSource, TriaxysSource, NdbcSource, DatawellSource, ObscapeSource, SpotterSource, AwacSource, JsonSource]
 
 
 def register(spark: SparkSession) -> SparkSession:
