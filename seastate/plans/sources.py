@@ -13,7 +13,7 @@ from ..frame import EFTH, SpectraFrame
 from ..grid import Grid
 from ..operators import stats as ST
 from ..session import scratch
-from ..sources import models, multi, netcdf, plugins, text, writers
+from ..sources import models, multi, netcdf, plugins, text, writers, zarr
 from ..streaming import tracking as STR
 from . import derived as D
 
@@ -137,6 +137,17 @@ def ww3_packed(spark, sf_dir):
     return described(netcdf.read(spark, folder + "/*.nc", "ww3"), ["hs"])
 
 
+@query("zarr_store", EXACT)
+def zarr_store(spark, sf_dir):
+    """A store in chunks of times and sites, with chunks that no spectrum is in."""
+    folder = _uri(scratch(spark, "zarr"))
+    fr = placed(spark, sf_dir)
+    zarr.to_zarr(fr.with_df(fr.df.drop("lon", "lat")), folder, ["time", "site"], {"time": 4, "site": 12})
+    back = zarr.read(spark, folder)
+    rows = back.df.where(~F.isnan(F.get(EFTH, F.lit(0)))).withColumn("lon", F.col("site").cast("double"))
+    return described(back.with_df(rows), ["hs"])
+
+
 _BY_VEC = "SELECT k AS vec_id, round(hs, 5) + 0.0 AS hs FROM h"
 
 

@@ -415,7 +415,11 @@ def open_files(spark: SparkSession, paths: str | list[str], kind: str, tasks: in
 
 def read(spark: SparkSession, paths: str | list[str], kind: str = "native", tasks: int | None = None, range_bytes: int = RANGE_BYTES, **options) -> SpectraFrame:
     """Spectra of NetCDF files of a kind of SPECTRAL, read in ranges (see open_files); options go to its normaliser in `models`."""
-    df, axes = open_files(spark, paths, kind, tasks, range_bytes)
+    return normalised(*open_files(spark, paths, kind, tasks, range_bytes), kind, **options)
+
+
+def normalised(df: DataFrame, axes: dict[str, np.ndarray], kind: str, **options) -> SpectraFrame:
+    """Rows under a kind's own names as spectra; options go to its normaliser in `models`."""
     value, freq, dir = SPECTRAL[kind]
     if kind == "native":
         return SpectraFrame(df, Grid(tuple(axes[freq]), tuple(axes[dir]) if dir in axes else None))
