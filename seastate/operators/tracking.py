@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -9,9 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..frame import SpectraFrame
 from ..grid import GRAVITY
+from ..numbering import numbered, written
 from . import partition as P
 from . import stats as ST
 
@@ -70,32 +73,116 @@ class Linker:
         return ids
 
 
-def track_stats(df: DataFrame, keys: list[str], time: str = "time", wspd: str | None = "wspd", **kw) -> DataFrame:
-    """df (keys, time, part, fp, dpm and others) with track_id (null without a peak) and ntracks of the site.
+#: Numbers from here on stand for parts of the step before a block; less than that for tracks born in it.
+INHERITED = 1 << 30
+
+
+def _blocks(df: DataFrame, keys: list[str], time: str, blocks: int | None) -> tuple[DataFrame, DataFrame]:
+    """df in blocks of neighbouring steps (column __p, in order), each with the last step of the block before it (__halo); and (__p, __next) of the blocks.
 
-    The one shuffle brings a site's steps together in order; repeated times of a site raise.
+    A block is a range of (keys, time), so a site has as many as its steps fill, and a step is in one.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField("track_id", T.IntegerType()), T.StructField("ntracks", T.IntegerType())])
+    order = [*keys, time]
+    dealt = df.repartitionByRange(*([blocks] if blocks else []), *order).sortWithinPartitions(*order, "part")
+    table = written(dealt.withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()}), "steps")
+    ends = table.groupBy("__p").agg(F.max_by(F.struct(*order), "__m").alias("__end"))
+    chain = written(ends.select("__p", F.lead("__p").over(Window.orderBy("__p")).alias("__next"), "__end"), "ends")  # a row for each block
+    same = F.lit(True)
+    for c in order:
+        same = same & F.col(c).eqNullSafe(F.col(f"__end.{c}"))
+    halo = table.join(chain.where("__next is not null"), "__p").where(same).select(*df.columns, F.col("__next").alias("__p"), "__m")
+    return table.withColumn("__halo", F.lit(False)).unionByName(halo.withColumn("__halo", F.lit(True))), chain.select("__p", "__next")
+
+
+def _linked(stream: DataFrame, df: DataFrame, keys: list[str], time: str, wspd: str | None, kw: dict) -> DataFrame:
+    """df with what its block knows of each row: __site (0 is the site that the block before ends with), __number (of a track born here in its site, or INHERITED and a part of the step before; null without a peak), __births of the site here, and __at, the place in the block's last step (else null)."""
+    more = {"__p": "int", "__site": "int", "__number": "int", "__births": "int", "__at": "int"}
+    schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.IntegerType()) for c in more)])
+    names = df.columns
+
+    def seconds(t) -> float:
+        return t.timestamp() if hasattr(t, "timestamp") else float(t)
+
+    def values(own: pd.DataFrame) -> tuple:
+        w = float(own[wspd].iloc[0]) if wspd and wspd in own else math.nan
+        return own["fp"].to_numpy(float), own["dpm"].to_numpy(float), w
 
     def op(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, "part"], kind="stable").reset_index(drop=True)
-        linker, ids = Linker(**kw), []
-        for t, own in pdf.groupby(time, sort=True):
+        pdf = pdf.sort_values(["__halo", "__m"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        steps = pdf.groupby(["__halo", *keys, time], sort=False, dropna=False).ngroup().to_numpy()
+        sites = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy() if keys else np.zeros(len(pdf), int)
+        border = np.flatnonzero(np.append(True, steps[1:] != steps[:-1])).tolist()
+        number, births, site_of = np.full(len(pdf), -1), np.zeros(len(pdf), int), np.zeros(len(pdf), int)
+        linker, last, begun = None, None, 0
+        held = bool(pdf["__halo"].iloc[0])
+        if held:
+            n = border[1] if len(border) > 1 else len(pdf)
+            fp, dpm, w = values(pdf.iloc[:n])
+            linker, last = Linker(**kw, state=(seconds(pdf[time].iloc[0]), fp, dpm, w, INHERITED + np.arange(n), 0)), sites[0]
+            border = border[1:]
+        first = border[0]
+        for i, j in zip(border, [*border[1:], len(pdf)]):
+            own = pdf.iloc[i:j]
             if own["part"].duplicated().any():
                 raise ValueError("times must increase")
-            w = float(own[wspd].iloc[0]) if wspd and wspd in own else math.nan
-            ids.append(linker.step(t.timestamp() if hasattr(t, "timestamp") else float(t), own["fp"].to_numpy(float), own["dpm"].to_numpy(float), w))
-        flat = np.concatenate(ids)
-        pdf["track_id"] = pd.array(np.where(flat < 0, 0, flat), "Int32")
-        pdf.loc[flat < 0, "track_id"] = pd.NA
-        pdf["ntracks"] = linker.last[-1]
-        return pdf
+            if sites[i] != last:
+                linker, last, begun = Linker(**kw), sites[i], i
+            number[i:j] = linker.step(seconds(own[time].iloc[0]), *values(own))
+            births[begun if begun else first : j] = linker.last[-1]
+            site_of[i:j] = sites[i] if held else sites[i] + 1
+        at = np.full(len(pdf), -1)
+        at[border[-1] :] = np.arange(len(pdf) - border[-1])
+        out = pdf.loc[first:, names].copy()
+        for c, x in (("__site", site_of), ("__number", number), ("__births", births), ("__at", at)):
+            out[c] = pd.array(np.where(x[first:] < 0, 0, x[first:]), "Int32")
+            out.loc[x[first:] < 0, c] = pd.NA
+        out.insert(len(names), "__p", pdf["__p"].iloc[0])
+        return out[schema.fieldNames()]
+
+    return stream.groupBy("__p").applyInPandas(op, schema)
+
+
+def _inherited(linked: DataFrame, chain: DataFrame, offsets: DataFrame) -> DataFrame:
+    """(__p, __part, __id): the track of each part of the step before a block, by pointer jumping over blocks."""
+    ends = linked.where("__at is not null and __number is not null").join(offsets.select("__p", "__carried"), "__p").join(chain, "__p").where("__next is not null")
+    born = F.col("__number") < INHERITED
+    known = F.when(born, F.col("__number") + F.when(F.col("__site") == 0, F.col("__carried")).otherwise(0))
+    hops = ends.select(F.col("__next").alias("__p"), F.col("__at").alias("__part"), known.alias("__id"), F.when(~born, F.col("__p")).alias("to_p"), F.when(~born, F.col("__number") - INHERITED).alias("to_part"))
+    hops = written(hops, "hops")
+    while not hops.where("__id is null and to_p is not null").isEmpty():  # as often as the longest way doubles
+        far = hops.select(F.col("__p").alias("to_p"), F.col("__part").alias("to_part"), F.col("__id").alias("far_id"), F.col("to_p").alias("far_p"), F.col("to_part").alias("far_part"))
+        hops = written(hops.join(far, ["to_p", "to_part"], "left").select("__p", "__part", F.coalesce("__id", "far_id").alias("__id"), F.col("far_p").alias("to_p"), F.col("far_part").alias("to_part")), "hops")
+    return hops.select("__p", "__part", "__id")
+
+
+def track_stats(df: DataFrame, keys: list[str], time: str = "time", wspd: str | None = "wspd", blocks: int | None = None, **kw) -> DataFrame:
+    """df (keys, time, part, fp, dpm and others) with track_id (null without a peak) and ntracks of the site.
 
-    if not keys:
-        df, keys = df.withColumn("__all", F.lit(0)), ["__all"]
-        schema = T.StructType([*df.schema.fields, *schema.fields[-2:]])
-        return df.groupBy(*keys).applyInPandas(op, schema).drop("__all")
-    return df.groupBy(*keys).applyInPandas(op, schema)
+    Links join neighbouring steps alone, so a site isn't a group: steps lie in blocks, ranges of (keys, time), which are
+    linked each by itself from the last step of the block before. Tracks get their numbers from sums of births over the
+    blocks of a site, and those that come from an earlier block by pointer jumping. blocks: how many there are, else
+    Spark's number of shuffle partitions. Null keys are a site of their own; null or NaN fp is no peak; repeated times
+    and parts of a site raise; without keys all rows are one site; an empty table gives no rows.
+    """
+    stream, chain = _blocks(df, keys, time, blocks)
+    linked = written(_linked(stream, df, keys, time, wspd, kw), "linked")
+    each = linked.groupBy("__p").agg(F.min("__site").alias("first"), F.max("__site").alias("last"), F.min_by("__births", "__site").alias("first_n"), F.max_by("__births", "__site").alias("last_n"))
+    along = Window.orderBy("__p")  # over blocks, a row each
+    each = each.withColumn("segment", F.sum((F.col("last") != 0).cast("long")).over(along))
+    upto = F.sum("last_n").over(Window.partitionBy("segment").orderBy("__p"))
+    whole = F.sum("last_n").over(Window.partitionBy("segment")) + F.when((F.lead("first").over(along) == 0) & (F.lead("last").over(along) != 0), F.lead("first_n").over(along)).otherwise(0)
+    each = each.withColumns({"upto": upto, "behind": whole})
+    total = F.max("behind").over(Window.partitionBy("segment"))  # only the segment's last block sees what follows it
+    each = each.withColumn("total", total)
+    zero = F.lit(0).cast("long")
+    offsets = written(each.select("__p", F.col("last").alias("__last"), F.when(F.col("first") == 0, F.lag("upto").over(along)).otherwise(zero).alias("__carried"), F.col("total").alias("__total"), F.lag("total").over(along).alias("__before")), "offsets")
+    ids = _inherited(linked, chain, offsets)
+    rows = linked.join(F.broadcast(offsets), "__p")  # a row for each block
+    rows = rows.withColumn("__part", F.when(F.col("__number") >= INHERITED, F.col("__number") - INHERITED)).join(ids, ["__p", "__part"], "left")
+    held = F.col("__site") == 0
+    track = F.when(F.col("__part").isNotNull(), F.col("__id")).otherwise(F.col("__number") + F.when(held, F.col("__carried")).otherwise(0))
+    many = F.when(held & (F.col("__last") != 0), F.col("__before")).when(F.col("__site") == F.col("__last"), F.col("__total")).otherwise(F.col("__births"))
+    return rows.select(*df.columns, track.cast("int").alias("track_id"), many.cast("int").alias("ntracks"))
 
 
 #: Wind-sea parts of each method.
@@ -114,10 +201,16 @@ def track(frame: SpectraFrame, keys: list[str], method: str = "ptm1", time: str
 
 
 def wave_systems(tracks: DataFrame, keys: list[str], time: str = "time", min_duration: int = 1) -> DataFrame:
-    """Rows of tracks of at least min_duration steps, with wave_system numbered from 0 in the order of track_id in each site."""
-    from pyspark.sql.window import Window
+    """Rows of tracks of at least min_duration steps, with wave_system numbered from 0 in the order of track_id in each site.
 
-    dealt = (tracks.repartition(*keys) if keys else tracks).where("track_id is not null")  # one shuffle for both windows
-    steps = F.size(F.collect_set(time).over(Window.partitionBy(*keys, "track_id")))
-    long = dealt.withColumn("__n", steps).where(F.col("__n") >= min_duration).drop("__n")
-    return long.withColumn("wave_system", F.dense_rank().over(Window.partitionBy(*keys).orderBy("track_id")) - 1)
+    Steps are counted for each track, and the tracks that stay are numbered over all sites in ranges; a site's first number
+    is then taken off. No site is a group.
+    """
+    rows = tracks.where("track_id is not null")
+    long = rows.groupBy(*keys, "track_id").agg(F.countDistinct(time).alias("__n")).where(F.col("__n") >= min_duration).drop("__n")
+    long = numbered(long, [*keys, "track_id"], "__k")
+    named = lambda df, names, tag: df.withColumnsRenamed({c: f"__{tag}_{c}" for c in names})
+    same = lambda names, tag: functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{tag}_{c}")) for c in names], F.lit(True))
+    first = long.groupBy(*keys).agg(F.min("__k").alias("__first"))
+    placed = long.join(named(first, keys, "site"), same(keys, "site")).select(*keys, "track_id", (F.col("__k") - F.col("__first")).cast("int").alias("wave_system")) if keys else long.select("track_id", F.col("__k").cast("int").alias("wave_system"))
+    return rows.join(named(placed, [*keys, "track_id"], "of"), same([*keys, "track_id"], "of")).select(*tracks.columns, "wave_system")
