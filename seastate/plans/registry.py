@@ -459,6 +459,19 @@ def track(spark, sf):
     return TR.track(fr, ["grp"], "ptm3", time="step").select("grp", "step", "part", "track_id", "ntracks")
 
 
+_EVENT_TRACKS = """WITH p AS (SELECT user_id, event_id, epoch_us(ts) AS t, 0.06e0 + 0.001e0 * (event_id % 60) AS fp, event_id * 37 % 360 AS d FROM events),
+l AS (SELECT *, (t - lag(t) OVER w) / 1e6 * 9.81 / (4 * pi() * 1e6) AS rise, abs(fp - lag(fp) OVER w) AS df, abs(d - lag(d) OVER w) AS dd FROM p WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+b AS (SELECT *, CASE WHEN df < rise AND least(dd, 360 - dd) < 90 THEN 0 ELSE 1 END AS born FROM l),
+s AS (SELECT event_id, CAST(sum(born) OVER (PARTITION BY user_id ORDER BY t) - 1 AS INTEGER) AS track_id, CAST(sum(born) OVER (PARTITION BY user_id) AS INTEGER) AS ntracks FROM b)"""
+
+
+@query("track_events", f"{_EVENT_TRACKS} SELECT event_id, track_id, ntracks FROM s")
+def track_events(spark, sf):
+    """One part a step, in 40 blocks of steps: most users have several blocks, or share one."""
+    rows = D.parameters(spark, sf).select("event_id", "user_id", F.col("ts").alias("time"), F.lit(0).alias("part"), F.col("fp0").alias("fp"), F.col("dm0").alias("dpm"))
+    return TR.track_stats(rows, ["user_id"], wspd=None, blocks=40, nsea=0, ddpm_swell_max=90.0).select("event_id", "track_id", "ntracks")
+
+
 @query("wave_systems")
 def wave_systems(spark, sf):
     fr = D.embeddings(spark, sf, "grp", "step", "wspd", "wdir", "dpt")

@@ -203,12 +203,13 @@ def ndbc_names(spark, sf_dir):
     return by_vec(models.from_dataframe(df, freq=D.EMB.freq), "site")
 
 
-def _stream(spark, sf_dir: str, table: str):
-    """A table as a stream of its files; it may be one file or a folder."""
+def _stream(spark, sf_dir: str, table: str, most: int | None = 4):
+    """A table as a stream of its files, so many at a time or all at once; it may be one file or a folder."""
     path = f"{sf_dir}/{table}.parquet"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4)
+    rows = spark.readStream.schema(spark.read.parquet(path).schema)
+    rows = rows.option("maxFilesPerTrigger", most) if most else rows
     return rows.parquet(path) if folder else rows.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
@@ -254,6 +255,19 @@ def source_stream(spark, sf_dir):
     return described(all_of_them.with_df(spark.read.parquet(f"{path}/out"), rounded_grid(5)), ["hs"])
 
 
+@query("track_stream", """WITH p AS (SELECT user_id, epoch_us(ts) AS t, 0.06e0 + 0.001e0 * (event_id % 60) AS fp, event_id * 37 % 360 AS d FROM events),
+l AS (SELECT *, (t - lag(t) OVER w) / 1e6 * 9.81 / (4 * pi() * 1e6) AS rise, abs(fp - lag(fp) OVER w) AS df, abs(d - lag(d) OVER w) AS dd FROM p WINDOW w AS (PARTITION BY user_id ORDER BY t))
+SELECT CAST(user_id AS VARCHAR) AS site, t AS at, CAST(sum(CASE WHEN df < rise AND least(dd, 360 - dd) < 90 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY t) - 1 AS INTEGER) AS track_id FROM l""")
+def track_stream(spark, sf_dir):
+    """The tracks of track_events from a stream, with typed state, a watermark and timers."""
+    k, path = F.col("event_id"), scratch(spark, "tracks")
+    rows = _stream(D.prepare(spark), sf_dir, "events", None)
+    rows = rows.select(F.col("user_id").cast("string").alias("site"), F.col("ts").cast("timestamp").alias("time"), F.lit(0).alias("part"), (0.06 + 0.001 * F.pmod(k, F.lit(60))).alias("fp"), F.pmod(k * 37, F.lit(360)).cast("double").alias("dpm"), F.lit(9.0).alias("wspd"))
+    out = STR.track_stream(rows, nsea=0, ddpm_swell_max=90.0).select("site", F.unix_micros("time").alias("at"), "track_id")
+    out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
 @query("stream_latest", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
 def stream_latest(spark, sf_dir):
     """The latest row of each key from a stream, batch by batch."""

@@ -1,50 +1,111 @@
-"""Tracking of parts on a stream: the state of a site is its last step."""
+"""Tracking of parts on a stream: a site's steps wait until the watermark has passed them, and are then linked in order."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..frame import SpectraFrame
 from ..operators import partition as P
 from ..operators import stats as ST
 from ..operators.tracking import NSEA, Linker
 
+#: The state store that timers and typed state need. Fixed values.
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def track_stream(stats: DataFrame, key: str = "site", time: str = "time", **kw) -> DataFrame:
-    """(key, time, part, fp, dpm, track_id) of a stream of parts (key STRING, time, part, fp, dpm, wspd).
 
-    All parts of a step must arrive in one batch. Steps that aren't later than the site's last one are dropped, as the
-    algorithm depends on order.
+class TrackProcessor(StatefulProcessor):
+    """State of a site: its last step and next free number, and the parts that wait, by time.
+
+    A timer at the earliest step that waits fires once the watermark is there; all steps up to it are linked. A site that
+    has nothing waiting is forgotten when the watermark is `expire` milliseconds past its last step; if it comes back, it
+    begins anew. Parts that come for a step that has been linked are counted and left out, as links depend on order.
     """
 
-    def op(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = None
-        if state.exists:
-            t, fp, dpm, wspd, ids, free = json.loads(state.get[0])
-            last = (t, np.array(fp, float), np.array(dpm, float), wspd, np.array(ids), free)
-        linker = Linker(state=last, **kw)
-        pdf = pd.concat(list(pdfs)).sort_values([time, "part"], kind="stable")
-        for t, own in pdf.groupby(time, sort=True):
-            if linker.last is not None and t.timestamp() <= linker.last[0]:
-                continue
-            ids = linker.step(t.timestamp(), own["fp"].to_numpy(float), own["dpm"].to_numpy(float), float(own["wspd"].iloc[0]))
-            out = own[[key, time, "part", "fp", "dpm"]].copy()
-            out["track_id"] = pd.array(np.where(ids < 0, 0, ids), "Int32")
-            out.loc[ids < 0, "track_id"] = pd.NA
-            yield out
-        if linker.last is not None:
-            t, fp, dpm, wspd, ids, free = linker.last
-            state.update((json.dumps([t, fp.tolist(), dpm.tolist(), wspd, ids.tolist(), int(free)]),))
-
-    schema = f"`{key}` string, `{time}` timestamp, part int, fp double, dpm double, track_id int"
-    return stats.groupBy(key).applyInPandasWithState(op, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    LAST = "at long, fp array<double>, dpm array<double>, wspd double, ids array<int>, free int"
+    WAITING = "at array<long>, part array<int>, fp array<double>, dpm array<double>, wspd array<double>"
+    COLUMNS = ("at", "part", "fp", "dpm", "wspd")
+
+    def __init__(self, expire: int, kw: dict):
+        self.expire, self.kw = expire, kw
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", self.LAST)
+        self.waiting = handle.getValueState("waiting", self.WAITING)
+        self.late = handle.getValueState("late", "n long")
+
+    def held(self) -> pd.DataFrame:
+        own = self.waiting.get()
+        found = pd.DataFrame(dict(zip(self.COLUMNS, own)) if own is not None else {c: [] for c in self.COLUMNS})
+        return found.astype({c: "int64" if c in ("at", "part") else "float64" for c in self.COLUMNS})
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new, last = pd.concat(list(rows))[list(self.COLUMNS)], self.last.get()
+        behind = new["at"] <= last[0] if last is not None else np.zeros(len(new), bool)
+        if behind.any():
+            self.late.update(((self.late.get() or (0,))[0] + int(behind.sum()),))
+        new = new[~behind]
+        if len(new):
+            every = pd.concat([self.held(), new], ignore_index=True).sort_values(["at", "part"], kind="stable")
+            self.waiting.update(tuple(every[c].tolist() for c in self.COLUMNS))
+            self.handle.registerTimer(int(every["at"].iloc[0]) // 1000)
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, every, last = timerValues.getCurrentWatermarkInMs(), self.held(), self.last.get()
+        due = every["at"] // 1000 <= now
+        if due.any():
+            state = (last[0] / 1e6, np.array(last[1], float), np.array(last[2], float), last[3], np.array(last[4]), last[5]) if last is not None else None
+            linker, out = Linker(state=state, **self.kw), []
+            for at, own in every[due].groupby("at", sort=True):
+                if own["part"].duplicated().any():
+                    raise ValueError("times must increase")
+                ids = linker.step(at / 1e6, own["fp"].to_numpy(float), own["dpm"].to_numpy(float), float(own["wspd"].iloc[0]))
+                out.append(own[["at", "part", "fp", "dpm"]].assign(track_id=pd.array(np.where(ids < 0, 0, ids), "Int32")))
+                out[-1].loc[ids < 0, "track_id"] = pd.NA
+            _, fp, dpm, wspd, ids, free = linker.last
+            last = (int(at), fp.tolist(), dpm.tolist(), wspd, [int(x) for x in ids], int(free))
+            self.last.update(last)
+            made = pd.concat(out)
+            made.insert(0, "key", key[0])
+            yield made.assign(late=(self.late.get() or (0,))[0])
+        left = every[~due]
+        if len(left):
+            self.waiting.update(tuple(left[c].tolist() for c in self.COLUMNS))
+            self.handle.registerTimer(int(left["at"].iloc[0]) // 1000)
+        elif last is not None:
+            self.waiting.clear()
+            end = last[0] // 1000 + self.expire
+            if end <= now:
+                self.last.clear()
+                self.late.clear()
+            else:
+                self.handle.registerTimer(end)
+
+
+def track_stream(stats: DataFrame, key: str = "site", time: str = "time", delay: str = "0 seconds", expire: str = "30 days", **kw) -> DataFrame:
+    """(key, time, part, fp, dpm, track_id, late) of a stream of parts (key STRING, time TIMESTAMP, part, fp, dpm, wspd).
+
+    Steps come out in order once the watermark, `delay` behind the latest time, has passed them; their parts may arrive in
+    several batches and in any order until then. What comes later is dropped by Spark (see numRowsDroppedByWatermark), or
+    counted in `late` of the site's next rows. Sites that are quiet for `expire` are forgotten. A null fp is no peak.
+    The session gets the state store that this needs, if it names none.
+    """
+    spark = stats.sparkSession
+    if "RocksDB" not in (spark.conf.get(STORE, "") or ""):
+        spark.conf.set(STORE, ROCKS)
+    millis = spark.sql(f"SELECT cast(unix_millis(timestamp'1970-01-01 00:00:00Z' + INTERVAL '{expire}') AS long)").first()[0] if not expire.isdigit() else int(expire)
+    kind = "key string, at long, part int, fp double, dpm double, track_id int, late long"
+    rows = stats.withWatermark(time, delay).select(F.col(key).alias("key"), F.unix_micros(time).alias("at"), F.col("part").cast("int").alias("part"), F.col("fp").cast("double").alias("fp"), F.col("dpm").cast("double").alias("dpm"), F.col("wspd").cast("double").alias("wspd"), time)
+    made = rows.groupBy("key").transformWithStateInPandas(statefulProcessor=TrackProcessor(millis, kw), outputStructType=kind, outputMode="Append", timeMode="EventTime")
+    return made.select(F.col("key").alias(key), F.timestamp_micros("at").alias(time), "part", "fp", "dpm", "track_id", "late")
 
 
 def track_spectra(frame: SpectraFrame, method: str = "ptm1", key: str = "site", time: str = "time", wspd: str = "wspd", **kw) -> DataFrame:
