@@ -118,17 +118,19 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     """A model from a bounded sample of the rows of df that have a text and a language; None if there are none.
 
     Of each language at most TEXTS_PER_LANGUAGE distinct texts, those of the least hashes (fewer if MOST_TEXTS don't hold
-    as many of all languages); of each text WINDOWS_PER_TEXT windows at even distances over its whole length.
+    as many of all languages), however often each is there; of each text WINDOWS_PER_TEXT windows at even distances over
+    its whole length.
     """
     text_batches(df.sparkSession)
     rows = df.select(df[text_col].alias("text"), df[lang_col].alias("lang")).where("text is not null and lang is not null")
-    counts = rows.groupBy("lang").count().collect()
+    rows = rows.withColumn("h", F.xxhash64("text", F.lit(5)))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("count")).collect()
     if not counts:
         return None
     texts = max(1, min(TEXTS_PER_LANGUAGE, MOST_TEXTS // len(counts)))
-    # twice as many rows as wanted, by the hash of the text; of their distinct texts those of least hash
+    # twice as many distinct texts as wanted (their number is known to a few parts of a hundred), by their hash; of these the ones of least hash
     share = F.create_map([F.lit(v) for r in counts for v in (r["lang"], min(1.0, 2 * texts / r["count"]))])
-    sample = rows.withColumn("h", F.xxhash64("text", F.lit(5))).where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    sample = rows.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
     sample = sample.dropDuplicates(["lang", "h"]).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= texts)
 
     def op(batches):
@@ -204,5 +206,6 @@ def known_language(df: DataFrame, least: float = 0.3, text_col: str = "text", la
     model = train(df, text_col, lang_col)
     if model is None:
         return df
-    a, b = (next(n for k in range(len(df.columns) + 2) if (n := f"{name}{k}") not in df.columns) for name in ("lang_pred", "score"))
+    taken = {c.lower() for c in df.columns}  # Spark's names don't tell cases apart
+    a, b = (next(n for k in range(len(df.columns) + 2) if (n := f"{name}{k}") not in taken) for name in ("lang_pred", "score"))
     return predict(df, model, df.columns, text_col, (a, b)).where((F.col(a) != UNKNOWN) & (F.col(b) >= least)).drop(a, b)
