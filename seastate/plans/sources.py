@@ -84,6 +84,24 @@ def swan_cycles(spark, sf_dir):
     return df.groupBy(hours("cycle").alias("file_start")).agg(F.count("*").alias("n"), F.countDistinct("time").alias("steps"))
 
 
+_TILES = """WITH b AS (SELECT vec_id % 10 AS lon, vec_id // 10 % 10 AS lat, vec_id // 100 AS step, vec_id, list_sum(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) AS w FROM embeddings),
+p AS (SELECT *, CASE WHEN lat % 2 = 0 THEN 1.6e0 ELSE CASE WHEN lon = 4 THEN 0.2e0 ELSE 0.9e0 END END AS f FROM b),
+s AS (SELECT lon, sum(w * f) > sum(w) AS first FROM p WHERE lon IN (4, 5) GROUP BY lon)
+SELECT p.vec_id, CASE WHEN p.lon < 4 OR coalesce(s.first, false) THEN 'a' ELSE 'b' END AS tile FROM p LEFT JOIN s USING (lon)"""
+
+
+@query("hot_tiles", _TILES)
+def hot_tiles(spark, sf_dir):
+    """Two tiles with two columns in common: each column is one tile's as a whole, though at half of its places the other has more energy."""
+    fr = D.embeddings(spark, sf_dir)
+    k = F.col("vec_id")
+    df = fr.df.withColumns({"lon": F.pmod(k, F.lit(10)).cast("double"), "lat": F.pmod(F.floor(k / 10), F.lit(10)).cast("double"), "time": F.timestamp_seconds(F.floor(k / 100)).cast("timestamp_ntz")})
+    factor = F.when(F.pmod("lat", F.lit(2)) == 0, 1.6).otherwise(F.when(F.col("lon") == 4, 0.2).otherwise(0.9))
+    one = df.where("lon <= 5").withColumn(EFTH, F.when(F.col("lon") >= 4, F.transform(EFTH, lambda x: x * factor)).otherwise(F.col(EFTH))).withColumn("file", F.lit("a"))
+    two = df.where("lon >= 4").withColumn("file", F.lit("b"))
+    return multi.merge_tiles(fr.with_df(one.union(two))).df.select("vec_id", F.col("file").alias("tile"))
+
+
 @query("native_parquet", EXACT)
 def native_parquet(spark, sf_dir):
     path = scratch(spark, "native")

@@ -96,8 +96,8 @@ def swan_time(line: str) -> dt.datetime:
     return dt.datetime.strptime(line.split()[0][:15], "%Y%m%d.%H%M%S")
 
 
-def swan_records(lines: Iterator[str], head: SwanHead, wanted: Callable[[dict], bool] | None = None, dense: bool = True) -> Iterator[dict]:
-    """Rows of the records that follow: NODATA is NaN, ZERO is 0. Rows that aren't wanted by time and place, and all if not dense, are passed over unread."""
+def swan_records(lines: Iterator[str], head: SwanHead, wanted: Callable[[dict], bool] | None = None, dense: bool = True, ends: Callable[[dt.datetime], bool] | None = None) -> Iterator[dict]:
+    """Rows of the records that follow: NODATA is NaN, ZERO is 0. Rows that aren't wanted by time and place, and all if not dense, are passed over unread. ends: by a record's time, whether reading stops before it."""
     g, order = head.grid, list(head.order)
     shape, time = (g.nf, g.nd), None
     while True:
@@ -106,6 +106,8 @@ def swan_records(lines: Iterator[str], head: SwanHead, wanted: Callable[[dict],
             if stamp is None or not stamp.strip():
                 return
             time = swan_time(stamp)
+            if ends is not None and ends(time):
+                return
         for k, (x, y) in enumerate(head.points):
             row = {"time": time, "site": str(k), "lon": x, "lat": y}
             read = wanted is None or wanted(row)
@@ -140,6 +142,24 @@ def parse_swan(text: str, name: str = "", dirorder: bool = True) -> Parsed:
     return head.grid, list(swan_records(lines, head))
 
 
+def parse_tab(text: str) -> dict[dt.datetime, dict[str, float]]:
+    """The rows of a SWAN table by time: wspd and wdir (coming from) of its wind components, and dpt."""
+    names, out = [], {}
+    for line in text.splitlines():
+        if line.startswith("%"):
+            names = line[1:].split() if "Time" in line else names
+        elif line.strip():
+            row = dict(zip(names, line.split()))
+            values: dict[str, float] = {}
+            if {"X-wsp", "Y-wsp"} <= set(row):
+                u, v = float(row["X-wsp"]), float(row["Y-wsp"])
+                values = {"wspd": math.hypot(u, v), "wdir": (270 - math.degrees(math.atan2(v, u))) % 360}
+            if dpt := next((row[c] for c in row if c.lower() in ("dep", "depth")), None):
+                values["dpt"] = float(dpt)
+            out[swan_time(row["Time"])] = values
+    return out
+
+
 def parse_octopus(text: str, name: str = "") -> Parsed:
     """Blocks of a header and records; energies of bins become densities. A file may hold blocks of several sites."""
     lines, at, rows, grid, site = text.splitlines(), 0, [], None, 0
