@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import construct as C
 from .operators import stats as ST
-from .sources import models, netcdf, text, writers
+from .sources import models, netcdf, single, text, writers
 
 
 def frame_of(spark: SparkSession, path: str, engine: str, **options):
@@ -70,7 +70,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.format == "parquet":
         models.write_parquet(frame, a.outfile)
     else:
-        writers.WRITERS[a.format](frame, a.outfile)
+        (single.WRITERS | {f: w for f, w in writers.WRITERS.items() if f not in single.WRITERS})[a.format](frame, a.outfile)
     return 0
 
 

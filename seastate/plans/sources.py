@@ -13,7 +13,7 @@ from ..frame import EFTH, SpectraFrame
 from ..grid import Grid
 from ..operators import stats as ST
 from ..session import scratch
-from ..sources import models, multi, netcdf, plugins, text, writers, zarr
+from ..sources import models, multi, netcdf, plugins, single, text, writers, zarr
 from ..streaming import tracking as STR
 from . import derived as D
 
@@ -75,6 +75,14 @@ query("octopus_files", from_bins(rounded_grid(5), "CAST(printf('%.5f', n * df0 *
 query("json_files", EXACT)(round_trip("json"))
 
 
+@query("octopus_one_file", from_bins(rounded_grid(5), "CAST(printf('%.5f', n * df0 * 45.0) AS DOUBLE) / (df * 45.0)"))
+def octopus_one_file(spark, sf_dir):
+    """One packed file of all sites, put together from the parts of tasks."""
+    path = _uri(scratch(spark, "one")) + ".oct.gz"
+    single.to_octopus(placed(spark, sf_dir), path)
+    return described(text.read(spark, path, "octopus"), ["hs"])
+
+
 @query("swan_cycles", "SELECT file_start, count(*) AS n, count(DISTINCT step) AS steps FROM (SELECT k % 50 AS grp, k // 50 AS step, min(k // 50) OVER (PARTITION BY k % 50) AS file_start FROM (SELECT vec_id AS k FROM embeddings)) WHERE step <= file_start + 4 GROUP BY file_start")
 def swan_cycles(spark, sf_dir):
     path = scratch(spark, "swan")
