@@ -109,7 +109,9 @@ def merge_parts(frame: SpectraFrame, keys: list[str], method: str = "sum") -> Sp
     if method not in ("sum", "max", "min", "mean"):
         raise ValueError(f"no such method: {method}")
     # a spectrum has few parts: their arrays come together and are folded bin by bin
-    parts = frame.df.groupBy(*keys).agg(F.collect_list(EFTH).alias("__parts"))
+    order = ["part"] if "part" in frame.df.columns and "part" not in keys else []  # sums of doubles don't depend on the shuffle then
+    parts = frame.df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, EFTH))).alias("__s"))
+    parts = parts.select(*keys, F.transform("__s", lambda x: x[EFTH]).alias("__parts"))
     zipped = {"sum": lambda a, b: a + b, "mean": lambda a, b: a + b, "max": lambda a, b: F.greatest(a, b), "min": lambda a, b: F.least(a, b)}[method]
     folded = F.aggregate(F.slice("__parts", 2, F.greatest(F.size("__parts") - 1, F.lit(0))), F.get("__parts", F.lit(0)), lambda a, b: F.zip_with(a, b, zipped))
     if method == "mean":

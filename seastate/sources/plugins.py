@@ -43,7 +43,7 @@ from ..frame import EFTH, SpectraFrame
 from ..grid import Grid
 from ..session import prepare
 from . import files as FS
-from . import netcdf, text, writers
+from . import mat, netcdf, text, writers
 
 #: Columns of every format; those that a file doesn't have are null. freq and dir are the row's own grid.
 COLUMNS = "time timestamp_ntz, site string, lat double, lon double, wspd double, wdir double, dpt double, file string, freq array<double>, dir array<double>, efth array<double>"
@@ -210,7 +210,8 @@ class Reading:
             else:
                 f, _ = FS.opened(fs, piece.path)
                 with f:
-                    grid, found = text.PARSERS[self.engine](f.read().decode("utf-8", "replace"), piece.path, **self.more)
+                    raw = f.read()
+                grid, found = mat.parse_xwaves(raw, piece.path) if self.engine == "xwaves" else text.PARSERS[self.engine](raw.decode("utf-8", "replace"), piece.path, **self.more)
                 rows = ((grid, row) for row in found)
             yield from batches(rows, self.schema, name, self.tests, self.grid)
 
@@ -420,6 +421,10 @@ class JsonSource(FileSource):
     engine = "json"
 
 
+class XwavesSource(FileSource):
+    engine = "xwaves"
+
+
 class NetcdfReader(DataSourceReader):
     """Rows of NetCDF files under their own names. Small files are read whole, without a look at them in planning; of large ones the header says how they are cut."""
 
@@ -468,7 +473,7 @@ class NetcdfSource(DataSource):
         return NetcdfReader(schema, self.options)
 
 
-SOURCES: list[type[DataSource]] = [NetcdfSource, SwanSource, OctopusSource, StationSource, FunwaveSource, FunwaveNewSource, TriaxysSource, NdbcSource, DatawellSource, ObscapeSource, SpotterSource, AwacSource, JsonSource]
+SOURCES: list[type[DataSource]] = [NetcdfSource, SwanSource, OctopusSource, StationSource, FunwaveSource, FunwaveNewSource, TriaxysSource, NdbcSource, DatawellSource, ObscapeSource, SpotterSource, AwacSource, JsonSource, XwavesSource]
 
 
 def register(spark: SparkSession) -> SparkSession:
