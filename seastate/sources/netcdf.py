@@ -18,12 +18,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from ..frame import BATCH_ROWS, EFTH, SpectraFrame
+from ..frame import BATCH_ROWS, EFTH, SpectraFrame, pack
 from ..grid import Grid
 from ..session import prepare
 from . import files as FS
@@ -353,14 +355,17 @@ def columns_of(found: Layout, value: str, names: list[str]) -> T.StructType:
     return T.StructType(fields)
 
 
-def in_columns(rows: pd.DataFrame, schema: T.StructType) -> pd.DataFrame:
-    """The rows with a schema's columns; those that they lack are null."""
-    for f in schema.fields:
-        if f.name not in rows:
-            rows[f.name] = None
-        elif isinstance(f.dataType, T.DoubleType):
-            rows[f.name] = rows[f.name].astype(float)
-    return rows[schema.fieldNames()]
+def in_columns(rows: pd.DataFrame, schema: T.StructType) -> pa.RecordBatch:
+    """The rows with a schema's columns; those that they lack are null. NaN in a spectrum stays NaN, as a number it is null."""
+    out, kinds = [], to_arrow_schema(schema)
+    for kind in kinds:
+        if kind.name not in rows:
+            out.append(pa.nulls(len(rows), kind.type))
+        elif pa.types.is_list(kind.type) and len(rows):
+            out.append(pack(np.stack(rows[kind.name].to_list())).cast(kind.type))
+        else:
+            out.append(pa.array(rows[kind.name].astype(float) if kind.type == pa.float64() else rows[kind.name], kind.type, from_pandas=True))
+    return pa.RecordBatch.from_arrays(out, schema=kinds)
 
 
 def open_files(spark: SparkSession, paths: str | list[str], kind: str, tasks: int | None = None, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, dict[str, np.ndarray]]:
@@ -384,7 +389,7 @@ def open_files(spark: SparkSession, paths: str | list[str], kind: str, tasks: in
         def run(batches):
             fs = FS.system(root)[0]
             for pdf in batches:
-                for row in pdf.itertuples(index=False):
+                for row in (pdf.to_pandas() if isinstance(pdf, pa.RecordBatch) else pdf).itertuples(index=False):
                     with fs.open_input_file(row.path) as f:
                         yield op(f, read_layout(f), row)
 
@@ -410,7 +415,7 @@ def open_files(spark: SparkSession, paths: str | list[str], kind: str, tasks: in
     schema = T.StructType(list(fields.values()))
     plan = listed.mapInPandas(each(cut), "path string, k0 long, k1 long, j0 long, j1 long").repartition(many)
     read = lambda f, found, row: in_columns(read_rows(f, found, value, names, (row.k0, row.k1, row.j0, row.j1)), schema)
-    return plan.mapInPandas(each(read), schema), axes
+    return plan.mapInArrow(each(read), schema), axes
 
 
 def read(spark: SparkSession, paths: str | list[str], kind: str = "native", tasks: int | None = None, range_bytes: int = RANGE_BYTES, **options) -> SpectraFrame:

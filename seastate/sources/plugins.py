@@ -450,7 +450,7 @@ class NetcdfReader(DataSourceReader):
         for path, part in partition.value:
             with fs.open_input_file(path) as f:
                 rows = netcdf.read_rows(f, netcdf.read_layout(f), self.value, self.names, part)
-            yield pa.RecordBatch.from_pandas(netcdf.in_columns(rows, self.schema), to_arrow_schema(self.schema), preserve_index=False)
+            yield netcdf.in_columns(rows, self.schema)
 
 
 class NetcdfSource(DataSource):

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -146,17 +147,17 @@ def read(spark: SparkSession, path: str, kind: str = "native", tasks: int | None
     kinds = {n: T.StringType() if np.dtype(known[n].dtype).kind == "S" else T.TimestampNTZType() if "since" in str(known[n].attrs.get("units", "")) else T.DoubleType() for n in how.read}
     schema = T.StructType([T.StructField(n, T.ArrayType(T.DoubleType()) if n in (value, *how.also) else kinds[n]) for n in how.read])
 
-    def boxes(batches) -> Iterator[pd.DataFrame]:
+    def boxes(batches) -> Iterator[pa.RecordBatch]:
         fs, _ = FS.system(path)
-        for pdf in batches:
-            for number in pdf["id"]:
+        for batch in batches:
+            for number in batch.column("id").to_pylist():
                 at = np.unravel_index(number, counts) if counts else ()
                 box = {d: (int(k) * steps[d], min(sizes[d], (int(k) + 1) * steps[d])) for d, k in zip(others, at)}
                 made = {n: as_variable(known[n], read_box(fs, known[n], [box.get(d, (0, s)) for d, s in zip(known[n].dims, known[n].shape)])) for n in how.read}
                 yield netcdf.in_columns(netcdf.rows_of(made, value, how.spectral, how.also), schema)
 
     many = math.prod(counts)
-    df = prepare(spark).range(0, many, 1, min(many, tasks or 4 * spark.sparkContext.defaultParallelism) or 1).mapInPandas(boxes, schema)
+    df = prepare(spark).range(0, many, 1, min(many, tasks or 4 * spark.sparkContext.defaultParallelism) or 1).mapInArrow(boxes, schema)
     return netcdf.normalised(df, axes, kind, **options)
 
 

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seastate.frame import EFTH, SpectraFrame
 from seastate.grid import Grid
@@ -104,3 +105,13 @@ def test_numbers(spark):
     got = [(x["a"], x["b"]) for x in numbered(df, ["a", "b"], "n").orderBy("n").collect()]
     assert got == sorted(got) and [x["n"] for x in numbered(df, ["a", "b"], "n").orderBy("n").collect()] == list(range(1000))
     assert numbered(df.limit(0), ["a"], "n").count() == 0
+
+
+def test_places_without_a_spectrum_are_nan(spark, frame, tmp_path):
+    """In a chunk that some spectra are in, and in one that isn't there."""
+    path = f"file://{tmp_path}/store"
+    Z.to_zarr(frame, path, ["time", "site"], {"time": 4, "site": 3})
+    back = Z.read(spark, path)
+    assert back.df.count() == 77
+    assert back.df.where(F.exists(EFTH, lambda x: x.isNull())).isEmpty()
+    assert back.df.where(~F.isnan(F.get(EFTH, F.lit(0)))).count() == frame.df.count()
