@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import EFTH, SpectraFrame
+from ..frame import EFTH, SpectraFrame, pack, unpack
 from ..functions import scalars as S
 from ..functions.scalars import Value, col
 from ..grid import GRAVITY, Grid
@@ -16,57 +18,96 @@ from . import partition as P
 from . import stats as ST
 
 
-def over(values, f) -> Column:
-    """An array of f(value) over fixed values, by one lambda that keeps the plan small."""
-    return F.transform(ST.lits(values), f)
+def blocks(f: Callable[..., np.ndarray], *values: Value, partial: bool = False) -> Column:
+    """An array column of f(values): numbers come as numpy columns (n, 1), a batch at a time, and f gives (n, bins). A value that is null, or a bin that f masks, gives nulls; partial: f takes nulls as NaN, and NaN bins are null."""
 
+    def op(*columns: pa.Array) -> pa.Array:
+        lost = np.zeros(len(columns[0]), bool)
+        for c in columns:
+            if c.null_count:
+                lost |= c.is_null().to_numpy(zero_copy_only=False)
+        with np.errstate(all="ignore"):
+            found = f(*(c.to_numpy(zero_copy_only=False).astype(float)[:, None] for c in columns))
+        x = np.ma.getdata(found)
+        bad = np.ma.getmask(found)
+        if partial:
+            bad, lost = np.ma.getmaskarray(found) | np.isnan(x), np.zeros(len(x), bool)
+        if bad is np.ma.nomask and not lost.any():
+            return pack(x)
+        bad = np.broadcast_to(bad, x.shape) | lost[:, None]
+        flat = pa.array(np.ascontiguousarray(x).reshape(-1), mask=bad.reshape(-1))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), flat)
 
-def let(value: Column, f) -> Column:
-    """f(value), with value computed once for a row, however often and in whatever lambda f uses it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
+    return F.arrow_udf(op, "array<double>")(*(col(v).cast("double") for v in values))
 
 
-def m0(e: Column, g: Grid) -> Column:
-    return ST.dot(e, g.df) + F.element_at(e, -1) * g.tail()
+def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a / b, masked where b is 0."""
+    out = a / b
+    bad = np.ma.getmask(out) | (np.ma.getdata(b) == 0)
+    return np.ma.masked_array(np.ma.getdata(out), np.broadcast_to(bad, out.shape)) if bad.any() else out
 
 
-def scaled(e: Column, g: Grid, hs: Value | None) -> Column:
-    """Density scaled to a height; spectra without energy become null."""
+def scaled(e: np.ndarray, g: Grid, hs: np.ndarray | None) -> np.ndarray:
+    """Density scaled to a height; spectra without energy, or with a bin that isn't known, are masked."""
     if hs is None:
         return e
-    return let(e, lambda a: let(S.ratio(col(hs) * col(hs) / 16, m0(a, g)), lambda k: F.transform(a, lambda x: x * k)))
+    x = np.ma.getdata(e)
+    m0 = np.zeros((len(x), 1))
+    for k in range(g.nf):  # in the order of frequencies
+        m0[:, 0] += x[:, k] * g.df[k]
+    m0[:, 0] += x[:, -1] * g.tail()
+    k = ratio(hs * hs / 16, m0)
+    if np.ma.getmask(e) is not np.ma.nomask:
+        k = np.ma.masked_array(np.ma.getdata(k), np.ma.getmaskarray(k) | np.ma.getmaskarray(e).any(axis=1, keepdims=True))
+    return e * k
 
 
-def pm_value(f: Column, fp: Value, alpha: Value) -> Column:
-    return F.when(f > 0, col(alpha) * GRAVITY**2 * (2 * math.pi) ** -4 * F.pow(f, F.lit(-5.0)) * F.exp(-1.25 * F.pow(S.ratio(f, col(fp)), F.lit(-4.0)))).otherwise(0.0)
+def _hs(hs: Value | None) -> tuple[Value, ...]:
+    return () if hs is None else (hs,)
+
+
+def pm_values(f: np.ndarray, fp: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    own = f > 0
+    out = alpha * GRAVITY**2 * (2 * math.pi) ** -4 * np.where(own, f, 1.0) ** -5.0 * np.exp(-1.25 * ratio(f, fp) ** -4.0)
+    return out if own.all() else np.ma.where(own, out, 0.0)
+
+
+def jonswap_values(g: Grid, fp, alpha, gamma, sigma_a, sigma_b, hs=None) -> np.ndarray:
+    f = g.f[None, :]
+    sigma = np.where(f <= fp, sigma_a, sigma_b)
+    shape = pm_values(f, fp, alpha) * gamma ** np.exp(ratio(-(f - fp) * (f - fp), 2 * sigma * sigma * fp * fp))
+    return scaled(shape, g, hs)
 
 
 def pierson_moskowitz(g: Grid, fp: Value, alpha: Value = 0.0081, hs: Value | None = None) -> Column:
-    return scaled(over(g.f, lambda f: pm_value(f, fp, alpha)), g, hs)
+    return blocks(lambda fp, alpha, hs=None: scaled(pm_values(g.f[None, :], fp, alpha), g, hs), fp, alpha, *_hs(hs))
 
 
 def jonswap(g: Grid, fp: Value, alpha: Value = 0.0081, gamma: Value = 3.3, sigma_a: float = 0.07, sigma_b: float = 0.09, hs: Value | None = None) -> Column:
-    def one(f):
-        sigma = F.when(f <= col(fp), sigma_a).otherwise(sigma_b)
-        return pm_value(f, fp, alpha) * F.pow(col(gamma), F.exp(S.ratio(-(f - col(fp)) * (f - col(fp)), 2 * sigma * sigma * col(fp) * col(fp))))
-
-    return scaled(over(g.f, one), g, hs)
+    return blocks(lambda fp, alpha, gamma, hs=None: jonswap_values(g, fp, alpha, gamma, sigma_a, sigma_b, hs), fp, alpha, gamma, *_hs(hs))
 
 
 def tma(g: Grid, fp: Value, dep: Value, alpha: Value = 0.0081, gamma: Value = 3.3, sigma_a: float = 0.07, sigma_b: float = 0.09, hs: Value | None = None) -> Column:
     """jonswap with the depth factor tanh(kh)**2 / (1 + 2kh / sinh(2kh)), scaled again."""
-    base = jonswap(g, fp, alpha, gamma, sigma_a, sigma_b, hs)
 
-    def factor(f):
-        kh = S.wavenumber(f, dep) * col(dep)
-        return F.tanh(kh) * F.tanh(kh) / (1 + 2 * kh / F.sinh(F.least(2 * kh, F.lit(700.0))))
+    def made(fp, dep, alpha, gamma, hs=None):
+        omega = 2 * math.pi * g.f[None, :]
+        y = 0.10194 * omega * omega * dep
+        a = 1 + 0.6522 * y + 0.4622 * y**2.0 + 0.0864 * y**4.0 + 0.0675 * y**5.0
+        kh = ratio(y * np.sqrt(1 + ratio(np.ones_like(y), y * a)), dep) * dep  # as scalars.wavenumber
+        factor = np.tanh(kh) * np.tanh(kh) / (1 + ratio(2 * kh, np.sinh(np.minimum(2 * kh, 700.0))))
+        return scaled(jonswap_values(g, fp, alpha, gamma, sigma_a, sigma_b, hs) * factor, g, hs)
 
-    return scaled(F.zip_with(base, over(g.f, factor), lambda e, x: e * x), g, hs)
+    return blocks(made, fp, dep, alpha, gamma, *_hs(hs))
 
 
 def gaussian(g: Grid, hs: Value, fp: Value, gw: Value) -> Column:
-    height = S.ratio(col(hs) * col(hs) / 16, col(gw) * math.sqrt(2 * math.pi))
-    return scaled(over(g.f, lambda f: height * F.exp(-0.5 * F.pow(S.ratio(f - col(fp), col(gw)), F.lit(2.0)))), g, hs)
+    def made(hs, fp, gw):
+        height = ratio(hs * hs / 16, gw * math.sqrt(2 * math.pi))
+        return scaled(height * np.exp(-0.5 * ratio(g.f[None, :] - fp, gw) ** 2.0), g, hs)
+
+    return blocks(made, hs, fp, gw)
 
 
 def conditional(cond: Column, when_true: Column, when_false: Column) -> Column:
@@ -74,45 +115,51 @@ def conditional(cond: Column, when_true: Column, when_false: Column) -> Column:
     return F.when(cond, when_true).otherwise(when_false)
 
 
-def cartwright_value(d: Column, dm: Value, dspr: Value, under_90: bool) -> Column:
-    turn = F.abs(d - col(dm))
-    turn = F.when(turn > 180, 360 - turn).otherwise(turn)
-    s = S.ratio(F.lit(2.0), F.pow(F.radians(col(dspr)), F.lit(2.0))) - 1
-    g = F.pow(F.abs(F.cos(0.5 * F.radians(turn))), 2 * s)
-    return F.when(turn <= 90, g).otherwise(0.0) if under_90 else g
+def cartwright_values(d: np.ndarray, dm, dspr, under_90: bool) -> np.ndarray:
+    turn = np.abs(d - dm)
+    turn = np.where(turn > 180, 360 - turn, turn)
+    s = ratio(np.full_like(dspr, 2.0), np.radians(dspr) ** 2.0) - 1
+    g = np.abs(np.cos(0.5 * np.radians(turn))) ** (2 * s)
+    return np.where(turn <= 90, g, 0.0) if under_90 else g
 
 
-def _normal(a: Column, g: Grid) -> Column:
-    """Values over directions to a density per degree."""
-    return let(a, lambda b: let(ST.total(b) * (2 * math.pi / g.nd), lambda t: F.transform(b, lambda x: S.ratio(x, t) * (math.pi / 180))))
+def _normal(a: np.ndarray, g: Grid) -> np.ndarray:
+    """Values over directions, the last axis, to a density per degree."""
+    t = np.zeros((*a.shape[:-1], 1))
+    for j in range(a.shape[-1]):  # in the order of directions
+        t[..., 0] += np.ma.getdata(a)[..., j]
+    return ratio(a, t * (2 * math.pi / g.nd)) * (math.pi / 180)
 
 
 def cartwright(g: Grid, dm: Value, dspr: Value, under_90: bool = False) -> Column:
     """Spreading over the directions."""
-    return _normal(over(g.directional().theta, lambda d: cartwright_value(d, dm, dspr, under_90)), g)
+    return blocks(lambda dm, dspr: _normal(cartwright_values(g.directional().theta[None, :], dm, dspr, under_90), g), dm, dspr)
 
 
 def asymmetric(g: Grid, dm: Value, dpm: Value, dspr: Value, dpspr: Value, fm: Value, fp: Value) -> Column:
     """Spreading by frequency: direction and spread vary linearly with f - fp within limits; row-major over (freq, dir)."""
-    gap = F.greatest(col(fm) - col(fp), F.lit(0.001))
-    clip = lambda x, a, b: F.greatest(F.least(x, b), a)
+    clip = lambda x, a, b: np.fmax(np.fmin(x, b), a)
 
-    def row(f):
-        theta = clip(col(dpm) + (col(dm) - col(dpm)) / gap * (f - col(fp)), 0.5 * col(dpm), 1.5 * col(dpm))
-        sigma = clip(col(dpspr) + F.greatest(col(dspr) - col(dpspr), F.lit(0.0)) / gap * (f - col(fp)), 0.5 * col(dspr), 1.5 * F.greatest(col(dspr), col(dpspr)))
-        sigma = F.greatest(sigma, F.lit(0.14))
-        return _normal(over(g.directional().theta, lambda d: cartwright_value(d, theta, sigma, False)), g)
+    def made(dm, dpm, dspr, dpspr, fm, fp):
+        gap, f = np.fmax(fm - fp, 0.001), g.f[None, :]
+        theta = clip(dpm + (dm - dpm) / gap * (f - fp), 0.5 * dpm, 1.5 * dpm)
+        sigma = clip(dpspr + np.fmax(dspr - dpspr, 0.0) / gap * (f - fp), 0.5 * dspr, 1.5 * np.fmax(dspr, dpspr))
+        sigma = np.fmax(sigma, 0.14)
+        return _normal(cartwright_values(g.directional().theta[None, None, :], theta[:, :, None], sigma[:, :, None], False), g).reshape(len(dm), -1)
 
-    return F.flatten(over(g.f, row))
+    return blocks(made, dm, dpm, dspr, dpspr, fm, fp, partial=True)
 
 
 def spread_out(e: Column, spreading: Column, g: Grid, by_frequency: bool = False) -> Column:
     """Density over frequency times spreading; NaN and null become 0."""
-    if by_frequency:
-        out = let(e, lambda a: F.transform(spreading, lambda x, k: x * F.get(a, F.floor(k / g.nd).cast("int"))))
-    else:
-        out = let(spreading, lambda s: F.flatten(F.transform(e, lambda x: F.transform(s, lambda y: x * y))))
-    return ST.clean(out)
+
+    def op(e: pa.Array, spreading: pa.Array) -> pa.Array:
+        rows = unpack(spreading, g if by_frequency else Grid(tuple(range(1, g.nd + 1))))
+        with np.errstate(all="ignore"):
+            out = unpack(e, Grid(g.freq)) * rows.reshape(len(e), g.nf if by_frequency else 1, g.nd)
+        return pack(np.where(np.isnan(out), 0.0, out))
+
+    return F.arrow_udf(op, "array<double>")(e, spreading)
 
 
 SHAPES = {"pierson_moskowitz": pierson_moskowitz, "jonswap": jonswap, "tma": tma, "gaussian": gaussian}
@@ -221,7 +268,6 @@ def _fit(frame: SpectraFrame, third: str, log_shape, guess: float, bounded: bool
     flat = Grid(g.freq)
     start = ST.stats(frame.with_df(frame.df.withColumn("__e", ST.oned_array(F.col(EFTH), g))), {"fp": {}, "hs": {}}, names=["__fp", "__hs"])
     names = [c for c in start.columns if c not in ("__e", "__fp", "__hs")]
-    import pyarrow as pa
     from pyspark.sql import types as T
 
     rows = start.select(*names, "__e", "__fp", "__hs")
@@ -230,8 +276,6 @@ def _fit(frame: SpectraFrame, third: str, log_shape, guess: float, bounded: bool
     high = np.array([max(g.freq), 30.0, 20.0]) if bounded else np.array([np.inf, np.inf, np.inf])
 
     def op(batches):
-        from ..frame import pack, unpack
-
         for b in batches:
             e = unpack(b.column(len(names)), flat)[:, :, 0]
             fp, hs = (b.column(len(names) + k).to_numpy(zero_copy_only=False) for k in (1, 2))
