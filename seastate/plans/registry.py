@@ -96,12 +96,18 @@ for _name, (_stat_name, _kw, _body) in _STATS.items():
     _sql[_name] = f"WITH {D.emb_sql()} SELECT k AS vec_id, {_R.format('v')} AS {_name} FROM ({_body})"
 
 
+def near(x: str, digits: int):
+    """x rounded half away from 0, as SQL does; without decimals of any size where a long holds the digits, as rows of bins are many."""
+    own, unit = F.col(x), 10.0**digits
+    return F.when(F.abs(own) < 2.0**50 / unit, F.signum(own) * (F.floor(F.abs(own) * unit + 0.5) / unit)).otherwise(F.round(own, digits)) + F.lit(0.0)
+
+
 def binned(frame: SpectraFrame, keys: list[str], value: str = "value", digits: int = 6) -> DataFrame:
     """A row for each bin, with index columns and the rounded value."""
     g = frame.grid
     rows = frame.df.select(*keys, F.posexplode(EFTH).alias("p", "x"))
     at = [F.floor(F.col("p") / g.nd).cast("int").alias("i")] + ([F.pmod("p", F.lit(g.nd)).alias("j")] if g.dir is not None else [])
-    return rows.select(*keys, *at, (F.round("x", digits) + F.lit(0.0)).alias(value))
+    return rows.select(*keys, *at, near("x", digits).alias(value))
 
 
 def by_frequency(df: DataFrame, column: str) -> DataFrame:
