@@ -38,6 +38,11 @@ def dot(a: Column, weights: Iterable[float]) -> Column:
     return total(F.zip_with(a, lits(weights), lambda x, w: x * w))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once for a row, however often and in whatever lambda f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def clean(a: Column) -> Column:
     """NaN and null become 0."""
     return F.transform(a, lambda x: F.when(x.isNull() | F.isnan(x), 0.0).otherwise(x))
@@ -53,16 +58,14 @@ def oned_array(efth: Column, g: Grid, skipna: bool = True) -> Column:
     e = clean(efth) if skipna else efth
     if g.dir is None:
         return e
-    at = rows_of(e, g)
-    return F.transform(F.sequence(F.lit(0), F.lit(g.nf - 1)), lambda i: total(at(i)) * g.dd)
+    return let(e, lambda a: F.transform(F.sequence(F.lit(0), F.lit(g.nf - 1)), lambda i: total(rows_of(a, g)(i)) * g.dd))
 
 
 def momd_array(efth: Column, g: Grid, kind: str, mom: int = 1, theta: float = 90.0) -> Column:
     """Per frequency, the sum over directions of density times sin**mom ("sin"), cos**mom ("cos") or sin x cos ("both")."""
     phi = g.directional().phi(theta)
     weights = {"sin": [math.sin(p) ** mom for p in phi], "cos": [math.cos(p) ** mom for p in phi], "both": [math.sin(p) * math.cos(p) for p in phi]}[kind]
-    at = rows_of(efth, g)
-    return F.transform(F.sequence(F.lit(0), F.lit(g.nf - 1)), lambda i: dot(at(i), [w * g.dd for w in weights]))
+    return let(efth, lambda a: F.transform(F.sequence(F.lit(0), F.lit(g.nf - 1)), lambda i: dot(rows_of(a, g)(i), [w * g.dd for w in weights])))
 
 
 class Terms:

@@ -17,6 +17,7 @@ from seastate.operators import shape as SH
 from seastate.operators import stats as ST
 from seastate.operators import tracking as TR
 from seastate.operators import watershed as W
+from seastate.plans import registry
 
 G = Grid(tuple(np.arange(0.04, 0.401, 0.01)), tuple(np.arange(0.0, 360, 10)))
 
@@ -226,3 +227,17 @@ def test_oracles(spark, name):
     got = sorted(map(str, (tuple(r) for r in df.select(*columns).collect())))
     want = sorted(map(str, con.sql(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})").fetchall()))
     assert got == want
+
+
+def test_shapes_are_computed_in_batches_and_once(spark):
+    """Shapes of many rows come from numpy, a spectrum's sums read it once, and nulls, zeros and rounding are as in plain expressions."""
+    g = Grid((0.05, 0.1, 0.2), (0.0, 90.0, 180.0, 270.0))
+    df = spark.createDataFrame([(1, 0.1, 2.0, 30.0), (2, None, 2.0, 30.0), (3, 0.0, 2.0, 30.0), (4, 0.1, None, 30.0)], "k int, fp double, hs double, dm double")
+    made = C.construct_partition(df, g, "jonswap", "cartwright", {"fp": "fp", "hs": "hs"}, {"dm": "dm", "dspr": 20.0})
+    plan = ST.stats(made, ["hs"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "slice(transform" not in plan
+    assert [x["hs"] for x in ST.stats(made, ["hs"]).orderBy("k").collect()] == [pytest.approx(2.0), 0.0, 0.0, 0.0]
+    shapes = {x["k"]: x["e"] for x in df.select("k", C.jonswap(g, F.col("fp"), hs=F.col("hs")).alias("e")).collect()}
+    assert shapes[2] == shapes[3] == shapes[4] == [None] * 3 and None not in shapes[1]
+    x = spark.createDataFrame([(0.0000005,), (-0.0000015,), (1e300,), (float("nan"),), (None,), (-1e-9,)], "x double")
+    assert str([r[0] for r in x.select(registry.near("x", 6)).collect()]) == "[1e-06, -2e-06, 1e+300, nan, None, 0.0]"
