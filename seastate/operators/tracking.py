@@ -73,6 +73,60 @@ class Linker:
         return ids
 
 
+def links(begins: np.ndarray, same: np.ndarray, dt: np.ndarray, fp: np.ndarray, dpm: np.ndarray, wspd: np.ndarray, nsea=1, ddpm_sea_max=30.0, ddpm_swell_max=20.0, dfp_sea_scaling=1.0, dfp_swell_source_distance=1e6) -> np.ndarray:
+    """For each row, that of the step before that it goes on from, or -1: `match` for all steps at once.
+
+    begins: the first rows of the steps, in order; for each step, same: whether the one before is its site's, and dt: the
+    seconds between them. Pairs are weighed together; only steps where parts compete are gone through pair by pair.
+    """
+    sizes, follows = np.diff(np.append(begins, len(fp))), np.flatnonzero(same)
+    many = sizes[follows] * sizes[follows - 1]
+    step = np.repeat(follows, many)
+    within = np.arange(len(step)) - np.repeat(np.cumsum(many) - many, many)
+    c, place = begins[step] + within // sizes[step - 1], within % sizes[step - 1]
+    p, sea = begins[step - 1] + place, place < nsea
+    df, dd = fp[c] - fp[p], np.abs(dpm[c] - dpm[p]) % 360
+    dd, upper = np.minimum(dd, 360 - dd), dt[step] * GRAVITY / (4 * math.pi * dfp_swell_source_distance)
+    lower, turn = -upper, np.where(sea, ddpm_sea_max, ddpm_swell_max)
+    with np.errstate(all="ignore"):
+        if sea.any():
+            w = wspd[begins[step[sea] - 1]]
+            t = np.where(w != 0, 15.8 * (GRAVITY / w) ** 0.57, np.nan)
+            lower[sea] = dfp_sea_scaling * t * ((fp[p[sea]] / t) ** (-1 / 0.43) + dt[step[sea]]) ** -0.43 - fp[p[sea]]
+        cost = np.abs(df) / np.maximum(upper, np.abs(lower)) + dd / turn
+        ok = np.flatnonzero((dd < turn) & (df < upper) & (df > lower))
+    ok = ok[np.lexsort((cost[ok], step[ok]))]
+    c, p = c[ok], p[ok]
+    alone = (np.bincount(c, minlength=len(fp))[c] == 1) & (np.bincount(p, minlength=len(fp))[p] == 1)
+    out, taken = np.full(len(fp), -1), set()
+    out[c[alone]] = p[alone]
+    for i, j in zip(c[~alone].tolist(), p[~alone].tolist()):
+        if out[i] < 0 and j not in taken:
+            out[i] = j
+            taken.add(j)
+    return out
+
+
+def follow(begins: np.ndarray, site: np.ndarray, seconds: np.ndarray, fp: np.ndarray, dpm: np.ndarray, wspd: np.ndarray, held: np.ndarray | None = None, start: int = 0, **kw) -> tuple[np.ndarray, np.ndarray]:
+    """(track numbers, -1 without a peak; births in the row's site) of rows in the order of site (numbers from 0), step and part.
+
+    seconds: of each step, since the one before. held: the numbers that the first step has already; its rows
+    aren't births. start: the first new number.
+    """
+    same = np.append(False, site[begins[1:]] == site[begins[:-1]])
+    before = links(begins, same, seconds, fp, dpm, wspd, **kw)
+    born = ~np.isnan(fp) & (before < 0)
+    born[: 0 if held is None else len(held)] = False
+    so_far, first = np.cumsum(born), np.searchsorted(site, np.arange(site[-1] + 1))
+    number = start + so_far - 1 - (so_far[first] - born[first])[site]
+    if held is not None:
+        number[: len(held)] = held
+    root = np.where(before >= 0, before, np.arange(len(fp)))
+    while not np.array_equal(far := root[root], root):
+        root = far
+    return np.where(np.isnan(fp), -1, number[root]), np.bincount(site, born).astype(int)[site]
+
+
 #: Numbers from here on stand for parts of the step before a block; less than that for tracks born in it.
 INHERITED = 1 << 30
 
@@ -100,36 +154,25 @@ def _linked(stream: DataFrame, df: DataFrame, keys: list[str], time: str, wspd:
     schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.IntegerType()) for c in more)])
     names = df.columns
 
-    def seconds(t) -> float:
-        return t.timestamp() if hasattr(t, "timestamp") else float(t)
-
-    def values(own: pd.DataFrame) -> tuple:
-        w = float(own[wspd].iloc[0]) if wspd and wspd in own else math.nan
-        return own["fp"].to_numpy(float), own["dpm"].to_numpy(float), w
+    def changed(pdf: pd.DataFrame, columns: list[str]) -> np.ndarray:
+        out = np.arange(len(pdf)) == 0
+        for c in columns:
+            last = pdf[c].shift()
+            out |= ~((pdf[c] == last) | (pdf[c].isna() & last.isna())).to_numpy(bool)
+        return out
 
     def op(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["__halo", "__m"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        steps = pdf.groupby(["__halo", *keys, time], sort=False, dropna=False).ngroup().to_numpy()
-        sites = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy() if keys else np.zeros(len(pdf), int)
-        border = np.flatnonzero(np.append(True, steps[1:] != steps[:-1])).tolist()
-        number, births, site_of = np.full(len(pdf), -1), np.zeros(len(pdf), int), np.zeros(len(pdf), int)
-        linker, last, begun = None, None, 0
-        held = bool(pdf["__halo"].iloc[0])
-        if held:
-            n = border[1] if len(border) > 1 else len(pdf)
-            fp, dpm, w = values(pdf.iloc[:n])
-            linker, last = Linker(**kw, state=(seconds(pdf[time].iloc[0]), fp, dpm, w, INHERITED + np.arange(n), 0)), sites[0]
-            border = border[1:]
-        first = border[0]
-        for i, j in zip(border, [*border[1:], len(pdf)]):
-            own = pdf.iloc[i:j]
-            if own["part"].duplicated().any():
-                raise ValueError("times must increase")
-            if sites[i] != last:
-                linker, last, begun = Linker(**kw), sites[i], i
-            number[i:j] = linker.step(seconds(own[time].iloc[0]), *values(own))
-            births[begun if begun else first : j] = linker.last[-1]
-            site_of[i:j] = sites[i] if held else sites[i] + 1
+        site, new = np.cumsum(changed(pdf, keys)) - 1, changed(pdf, ["__halo", *keys, time])
+        if (~new & ~changed(pdf, ["part"])).any():
+            raise ValueError("times must increase")
+        border, held = np.flatnonzero(new), bool(pdf["__halo"].iloc[0])
+        t = pdf[time].iloc[border]
+        dt = t.diff().dt.total_seconds().to_numpy() if pd.api.types.is_datetime64_any_dtype(t) else np.diff(t.to_numpy(float), prepend=np.nan)
+        w = pdf[wspd].to_numpy(float) if wspd and wspd in pdf else np.full(len(pdf), np.nan)
+        first = int(border[1]) if held else 0
+        number, births = follow(border, site, dt, pdf["fp"].to_numpy(float), pdf["dpm"].to_numpy(float), w, INHERITED + np.arange(first) if held else None, **kw)
+        site_of = site if held else site + 1
         at = np.full(len(pdf), -1)
         at[border[-1] :] = np.arange(len(pdf) - border[-1])
         out = pdf.loc[first:, names].copy()

@@ -91,3 +91,25 @@ def test_wave_systems(spark, keys):
     got = {(x["site"], x["time"], x["part"]): x["wave_system"] for x in TR.wave_systems(tracks, keys, min_duration=4).collect()}
     assert got == {(x["site"], x["time"], x["part"]): number[x["site"], x["track_id"]] for x in known if (x["site"], x["track_id"]) in number}
     assert 0 < len(number) < len(steps)
+
+
+def test_links_of_all_steps_are_those_of_one_after_the_other():
+    """Parts that compete, lack a peak or begin a site, against a Linker for each site."""
+    r = np.random.default_rng(3)
+    sizes, sites = r.integers(1, 5, 400), np.sort(r.integers(0, 12, 400))
+    begins = np.cumsum(sizes) - sizes
+    n, times = sizes.sum(), np.cumsum(r.integers(600, 9000, 400)).astype(float)
+    fp, dpm, wspd = r.choice(np.linspace(0.08, 0.1, 15), n), r.uniform(0, 60, n), np.repeat(r.choice([0.0, 5.0, 12.0], 400), sizes)
+    fp[r.random(n) < 0.1] = np.nan
+    sites = np.unique(sites, return_inverse=True)[1]
+    for kw in ({}, {"nsea": 2, "ddpm_sea_max": 50.0}, {"nsea": 0, "ddpm_swell_max": 90.0}):
+        want, births = [], {}
+        for s in range(sites[-1] + 1):
+            linker = TR.Linker(**kw)
+            for k in np.flatnonzero(sites == s):
+                own = slice(begins[k], begins[k] + sizes[k])
+                want += linker.step(times[k], fp[own], dpm[own], float(wspd[begins[k]])).tolist()
+            births[s] = linker.last[-1]
+        site = np.repeat(sites, sizes)
+        got, many = TR.follow(begins, site, np.diff(times, prepend=0.0), fp, dpm, wspd, **kw)
+        assert got.tolist() == want and many.tolist() == [births[s] for s in site.tolist()]
