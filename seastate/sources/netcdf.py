@@ -35,6 +35,8 @@ from . import models, writers
 MOST_HEADER = 1 << 28
 #: Bytes of spectra that a range of a file has.
 RANGE_BYTES = 32 << 20
+#: Bytes of files for each task that reads ranges, beyond a few tasks a core.
+TASK_BYTES = 32 << 20
 
 #: The format's type numbers. Fixed values.
 TYPES = {1: "i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: "u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
@@ -373,7 +375,7 @@ def open_files(spark: SparkSession, paths: str | list[str], kind: str, tasks: in
 
     The driver lists names. Headers are read by tasks, and what comes back is their distinct columns and axes: all
     files' columns stay, and axes that differ raise. Another pass over the headers cuts each file into ranges, which are
-    dealt over `tasks` tasks, or as many as there are range_bytes in the files.
+    dealt over `tasks` tasks, or a few a core and one more for each TASK_BYTES of the files, not more than ranges.
     """
     value, *names = SPECTRAL[kind]
     names = [n for n in names if n]
@@ -382,16 +384,26 @@ def open_files(spark: SparkSession, paths: str | list[str], kind: str, tasks: in
         raise FileNotFoundError(str(paths))
     first = paths if isinstance(paths, str) else paths[0]
     root = re.match(r"[^*?{]*", first)[0]
-    many = tasks or max(1, min(len(files) + sum(f.size for f in files) // range_bytes, 100_000))
+    many = tasks or max(1, min(sum(f.size for f in files) // TASK_BYTES + 4 * prepare(spark).sparkContext.defaultParallelism, len(files) + sum(f.size for f in files) // range_bytes))
     listed = prepare(spark).createDataFrame([(f.path,) for f in files], "path string").repartition(max(1, min(many, len(files))))
 
     def each(op):
+        """A batch for each row of the list; a file that the row before had stays open, with its header."""
+
         def run(batches):
-            fs = FS.system(root)[0]
-            for pdf in batches:
-                for row in (pdf.to_pandas() if isinstance(pdf, pa.RecordBatch) else pdf).itertuples(index=False):
-                    with fs.open_input_file(row.path) as f:
-                        yield op(f, read_layout(f), row)
+            fs, path, f, found = FS.system(root)[0], None, None, None
+            try:
+                for pdf in batches:
+                    for row in (pdf.to_pandas() if isinstance(pdf, pa.RecordBatch) else pdf).itertuples(index=False):
+                        if row.path != path:
+                            if f is not None:
+                                f.close()
+                            path, f = row.path, fs.open_input_file(row.path)
+                            found = read_layout(f)
+                        yield op(f, found, row)
+            finally:
+                if f is not None:
+                    f.close()
 
         return run
 
@@ -413,7 +425,8 @@ def open_files(spark: SparkSession, paths: str | list[str], kind: str, tasks: in
         for field in T.StructType.fromJson(json.loads(h)).fields:
             fields.setdefault(field.name, field)
     schema = T.StructType(list(fields.values()))
-    plan = listed.mapInPandas(each(cut), "path string, k0 long, k1 long, j0 long, j1 long").repartition(many)
+    plan = listed.mapInPandas(each(cut), "path string, k0 long, k1 long, j0 long, j1 long")
+    plan = plan.repartition(many, F.xxhash64("path", "k0", "j0") % 1_000_003).sortWithinPartitions("path", "k0", "j0")
     read = lambda f, found, row: in_columns(read_rows(f, found, value, names, (row.k0, row.k1, row.j0, row.j1)), schema)
     return plan.mapInArrow(each(read), schema), axes
 

@@ -176,3 +176,10 @@ def test_what_the_writer_does_not_take(spark, tmp_path):
     still = frame.with_df(frame.df.where("minute(time) = 5 AND hour(time) = 3").drop("time"))
     N.to_netcdf(still, f"file://{tmp_path}/still", ["site"])
     assert ST.stats(N.read(spark, f"file://{tmp_path}/still"), ["hs"]).count() == 4
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """Ranges are as small as asked for, and tasks follow the bytes and the cores."""
+    (tmp_path / "a.nc").write_bytes(records({k: v for k, v in native().items() if k != "turned"}))
+    back = N.read(spark, f"{tmp_path}/a.nc", range_bytes=1)
+    assert back.df.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism and back.df.count() == 35
