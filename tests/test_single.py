@@ -3,6 +3,7 @@
 import datetime as dt
 import gzip
 import json
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -74,3 +75,28 @@ def test_what_is_no_swan_file(spark, frame, tmp_path):
     with pytest.raises(ValueError, match="times are needed"):
         single.to_octopus(still, str(tmp_path / "y"))
     assert not (tmp_path / "x").exists() and still.df.where(F.col("site").isNull()).count() == 0
+
+
+def test_a_packed_file_is_read_record_by_record(spark, tmp_path):
+    """3,000 records: neither planning nor a task's parser holds the file, and a file cut inside a block raises."""
+    rows = [(dt.datetime(2021, 5, 1) + dt.timedelta(hours=k // 2), f"s{k % 2}", 10.5, -4.25, 7.0, 200.0, 30.0, R.uniform(0, 9, 240).tolist()) for k in range(3000)]
+    g = Grid(tuple(0.05 * 1.1**k for k in range(20)), tuple(30.0 * k for k in range(12)))
+    df = spark.createDataFrame(rows, "time timestamp_ntz, site string, lon double, lat double, wspd double, wdir double, dpt double, efth array<double>")
+    path = str(tmp_path / "many.gz")
+    single.to_octopus(SpectraFrame(df, g), path)
+    size = len(gzip.decompress((tmp_path / "many.gz").read_bytes()))
+    tracemalloc.start()
+    try:
+        found = text.read(spark, path, "octopus")
+        planned = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        assert sum(len(some) for _, some in text.chunks("octopus", path, None, {})) == 3000
+        parsed = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert max(planned, parsed) < size / 2
+    assert {(r["site"], r["n"]) for r in found.df.groupBy("site").agg(F.count("*").alias("n")).collect()} == {("0", 1500), ("1", 1500)}
+    short = gzip.decompress((tmp_path / "many.gz").read_bytes())[: size // 2]
+    assert [len(some) for _, some in text.chunks("octopus", path, (tmp_path / "many.gz").read_bytes(), {})] == [500] * 6
+    with pytest.raises(ValueError, match="inside a block"):
+        list(text.chunks("octopus", path, short[: short.rindex(b"CCYYMM")], {}))
