@@ -20,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Events that a task takes.
+ROWS = 20_000
+
+
+def dealt(df: DataFrame, rows: int = ROWS) -> DataFrame:
+    """Narrow rows that make spectra, dealt anew over tasks of about so many: a file of a few bytes a row is cut at its row groups only, and a task would take all the work of one."""
+    tasks = -(-df.count() // rows)
+    return df.repartition(tasks) if tasks > 1 else df
+
+
 def embeddings(spark: SparkSession, sf_dir: str, *more: str) -> SpectraFrame:
     """site = vec_id, and wind and depth by fixed rules."""
     df = table(spark, sf_dir, "embeddings")
@@ -32,7 +42,8 @@ def embeddings(spark: SparkSession, sf_dir: str, *more: str) -> SpectraFrame:
 def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, ts, user_id and wave parameters of the events."""
     k = F.col("event_id")
-    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", (0.5 + F.col("value") / 100).alias("hs0"), (0.06 + 0.001 * F.pmod(k, F.lit(60))).alias("fp0"), F.pmod(k * 37, F.lit(360)).cast("double").alias("dm0"), F.lit(20.0).alias("dspr0"))
+    rows = dealt(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value"))
+    return rows.select("event_id", "ts", "user_id", (0.5 + F.col("value") / 100).alias("hs0"), (0.06 + 0.001 * F.pmod(k, F.lit(60))).alias("fp0"), F.pmod(k * 37, F.lit(360)).cast("double").alias("dm0"), F.lit(20.0).alias("dspr0"))
 
 
 def events(spark: SparkSession, sf_dir: str, *keep: str) -> SpectraFrame:

@@ -4,10 +4,12 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seastate.frame import EFTH, SpectraFrame
 from seastate.grid import Grid
 from seastate.operators import construct as C
+from seastate.plans import derived as D
 
 G = Grid(tuple(0.03 * 1.08**k for k in range(34)))
 N = 1000
@@ -73,3 +75,16 @@ def test_what_has_no_fit(spark):
     rows = [(0, [0.0] * G.nf), (1, [float("nan")] * G.nf), (2, [1.0] * G.nf)]
     frame = SpectraFrame(spark.createDataFrame(rows, "k long, efth array<double>"), G)
     assert all(x["fp"] is None and x["hs"] is None for x in C.fit_jonswap(frame).df.collect())
+
+
+def test_events_of_one_row_group_are_fitted_by_many_tasks(spark, tmp_path):
+    """A few bytes a row: the file is one split, the fits are not one task's; each event is fitted once."""
+    n = 45_000
+    own = spark.range(n).selectExpr("id AS event_id", "timestamp_ntz'2020-01-01 00:00:00' AS ts", "id % 7 AS user_id", "CAST(id % 200 AS DOUBLE) AS value")
+    own.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    for sf, tasks in ((str(tmp_path), 3), ("/root/testdata/sf0.001", 1)):
+        frame = D.events(spark, sf)
+        where = frame.df.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("m")).collect()
+        assert len(where) == tasks
+        if tasks > 1:
+            assert sum(r["m"] for r in where) == n and max(r["n"] for r in where) <= 1.1 * n / tasks
