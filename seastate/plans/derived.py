@@ -39,10 +39,11 @@ def embeddings(spark: SparkSession, sf_dir: str, *more: str) -> SpectraFrame:
     return SpectraFrame(df.select("vec_id", *(columns[m].alias(m) for m in more), efth.alias(EFTH)), EMB)
 
 
-def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, ts, user_id and wave parameters of the events."""
+def parameters(spark: SparkSession, sf_dir: str, spectra: bool = True) -> DataFrame:
+    """event_id, ts, user_id and wave parameters of the events; spectra: whether spectra are made of them."""
     k = F.col("event_id")
-    rows = dealt(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value"))
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
+    rows = dealt(rows) if spectra else rows
     return rows.select("event_id", "ts", "user_id", (0.5 + F.col("value") / 100).alias("hs0"), (0.06 + 0.001 * F.pmod(k, F.lit(60))).alias("fp0"), F.pmod(k * 37, F.lit(360)).cast("double").alias("dm0"), F.lit(20.0).alias("dspr0"))
 
 

@@ -474,7 +474,7 @@ s AS (SELECT event_id, CAST(sum(born) OVER (PARTITION BY user_id ORDER BY t) - 1
 @query("track_events", f"{_EVENT_TRACKS} SELECT event_id, track_id, ntracks FROM s")
 def track_events(spark, sf):
     """One part a step, in 40 blocks of steps: most users have several blocks, or share one."""
-    rows = D.parameters(spark, sf).select("event_id", "user_id", F.col("ts").alias("time"), F.lit(0).alias("part"), F.col("fp0").alias("fp"), F.col("dm0").alias("dpm"))
+    rows = D.parameters(spark, sf, spectra=False).select("event_id", "user_id", F.col("ts").alias("time"), F.lit(0).alias("part"), F.col("fp0").alias("fp"), F.col("dm0").alias("dpm"))
     return TR.track_stats(rows, ["user_id"], wspd=None, blocks=40, nsea=0, ddpm_swell_max=90.0).select("event_id", "track_id", "ntracks")
 
 
