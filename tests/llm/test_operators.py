@@ -611,3 +611,60 @@ def test_packing_computes_a_word_once(monkeypatch):
     first, second = (ids.batch([" ".join(spelled)]) for _ in range(2))
     assert first == second and len(made) == len(spelled)
     assert ids.batch(["ab, ab Ab! é É."]) == [b"".join(map(ids.any, ["ab", ",", "ab", "ab", "!", "é", "é", "."]))]
+
+
+def test_similar_passages_share_a_gram():
+    """Against all pairs of passages: of similar ones either both hold one of the grams that both have, or both repeat three words in a row."""
+    r, least = random.Random(11), 47
+    runs = passages.run_lengths(least, 0.8)
+    assert runs == (13, 8, 4)
+    pairs = kinds = 0
+    for k in range(120):
+        own = [f"w{x}" for x in (r.sample(range(400), 70) if k % 3 else r.choices(range(25 if k % 2 else 90), k=70))]
+        if k % 4 == 1:
+            own = [*own[:30], *own[22:30], *own[30:]]  # eight words twice
+        other = list(own)
+        for _ in range(r.randint(0, 2)):
+            other[r.randrange(len(other))] = "changed"
+        if k % 5 == 0:
+            other = [*other[:25], *other[40:], *other[25:40]]
+        w = [passages.word_hashes(" ".join(x)) for x in (own, other)]
+        t, place, gram, dirty = [passages.grams(x, 5) for x in w], [], [], []
+        for x in w:
+            p, h, d = passages.run_grams(x, np.array([len(x)]), least, runs)
+            place.append(p), gram.append(h), dirty.append(d)
+        shared = set(gram[0].tolist()) & set(gram[1].tolist())
+        at = [p[np.isin(h, np.array(sorted(shared), np.uint64))] for p, h in zip(place, gram)]
+        sets = [[set(x[s : s + least].tolist()) for s in range(len(x) - least + 1)] for x in t]
+        holds = [[((p >= s) & (p <= s + least - runs[2])).any() for s in range(len(x))] for p, x in zip(at, sets)]
+        for i, x in enumerate(sets[0]):
+            for j, y in enumerate(sets[1]):
+                if len(x & y) >= 0.8 * len(x | y):
+                    assert (holds[0][i] and holds[1][j]) or (dirty[0][i] and dirty[1][j])
+                    pairs += 1
+                    kinds += bool(dirty[0][i] or dirty[1][j])
+    assert pairs > 2000 and kinds > 200
+
+
+def test_texts_without_a_shared_gram_are_left_out(spark):
+    """Texts share five or eight words here and there, which made each of their tokens a row; and a frequent token's row needs as many frequent ones as similar passages share."""
+    phrases = [prose(5 + k % 4, 50000 + k) for k in range(20)]
+    texts = [" ".join(f"{prose(20, 51000 + 9 * k + i)} {phrases[(k + i) % 20]}" for i in range(5)) for k in range(60)]
+    passage = prose(60, 52000)
+    texts += [f"{prose(40, 52100 + k)} {passage} {prose(40, 52200 + k)}" for k in range(2)] + ["the same line again and again " * 20]
+    df = spark.createDataFrame(list(enumerate(texts)), "h long, text string").repartition(3)
+    found = {x["h"]: x["near"] for x in passages.candidates(df, 47, 0.8).collect()}
+    assert {60, 61, 62} <= set(found) and len(found) < 10 and found[62] == []
+    assert set(found[60]) == set(found[61]) and len(found[60]) > 2
+    made = passages.selected(passages.candidates(df, 47, 0.8), 47, 0.8)
+    assert {x["h"] for x in made.select("h").distinct().collect()} == {60, 61, 62} | set(found)
+
+
+def test_frequent_rows_of_passages_that_meet_by_rare_tokens():
+    """A passage four of whose ten least tokens are frequent shares a rare one with each similar passage: no row for the frequent ones."""
+    for often in (4, 5):
+        token = np.arange(10)
+        rows = list(passages.windows(np.zeros(10, np.int64), np.full(10, 3), np.zeros(10, bool), token, token < often, np.zeros(10, bool), 47, 5))
+        (j, value, repeats, frequent, w, offsets, held), = rows
+        assert j == 0 and set(value.tolist()) == (set(range(10)) if often == 5 else set(range(4, 10)))
+        assert w.tolist() == [0, 49, 0] * len(value) and (held == often).all()
