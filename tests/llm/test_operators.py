@@ -668,3 +668,56 @@ def test_frequent_rows_of_passages_that_meet_by_rare_tokens():
         (j, value, repeats, frequent, w, offsets, held), = rows
         assert j == 0 and set(value.tolist()) == (set(range(10)) if often == 5 else set(range(4, 10)))
         assert w.tolist() == [0, 49, 0] * len(value) and (held == often).all()
+
+
+def test_word_hashes_follow_the_words():
+    """Equal words have equal hashes wherever they stand, in ASCII texts, others, and those with pairs of UTF-16; long texts are hashed in parts."""
+    texts = ["Ab c_1 é Éa ab", "ab, c_1! x", "É éa AB", "", "  ", None, "a" * 300_000 + " b", "x " * 40_000 + "ab", "ǅ İ ab \x1c c_1", "٣ ab²", "𝒜b ab 😀c_1 é", "漢字 ab、é"]
+    by = {}
+    for text in texts:
+        own, h = passages.words(text), passages.word_hashes(text)
+        assert len(own) == len(h)
+        for word, x in zip(own, h.tolist()):
+            assert by.setdefault(word, x) == x
+    assert len(set(by.values())) == len(by)
+
+
+def test_distinct_tokens_by_near_places():
+    """Of long arrays the last place of a token is looked for among the near ones only, with the same counts."""
+    rng = np.random.default_rng(3)
+    t = rng.integers(0, 400, 70_000).astype(np.uint64)
+    for own in (None, t % 3 > 0):
+        got = passages._distinct(t, own, 47)
+        assert len(got) == len(t) - 46
+        assert all(got[k] == len({x for x in t[k : k + 47].tolist() if own is None or x % 3}) for k in range(0, len(got), 7))
+    w = rng.integers(0, 1500, 70_000).astype(np.uint64)
+    for gram in (1, 2):
+        own = passages.grams(w, gram).tolist()
+        assert passages.clean(w, 47, gram).tolist() == [len(set(own[k : k + 52 - gram])) == 52 - gram for k in range(len(own) - 51 + gram)]
+
+
+def test_cleanest_row_leads(spark, monkeypatch):
+    """Copies with edits of their own meet one without, so the pairs that are tried grow with the copies, not with their square."""
+    monkeypatch.setattr(passages, "RARE", 2)
+    r = random.Random(9)
+    base, tried = prose(120, 61000).split(), {}
+    for n in (20, 60):
+        texts = [" ".join(base)]
+        for k in range(n):
+            own = list(base)
+            for at in r.sample(range(120), 3):
+                own[at] = f"edit{k}x{at}"
+            texts.append(" ".join(own))
+        compared, verified = [], passages.verified
+        with monkeypatch.context() as m:
+            m.setattr(passages, "verified", lambda found, *x: (compared.append(found.count()), verified(found, *x))[1])
+            got = passages.near_duplicate_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        t, want = [passages.tokens(x) for x in texts], [[] for _ in texts]
+        for i in range(len(t)):
+            for k in range(i):
+                p, q = passages.alike(t[i], t[k], 47, 0.8)
+                want[i] += [(s, e + 4) for s, e in p]
+                want[k] += [(s, e + 4) for s, e in q]
+        assert {x["doc_id"]: [tuple(s) for s in x["passages"]] for x in got} == {k: passages.merged(x) for k, x in enumerate(want) if x}
+        tried[n] = sum(compared)
+    assert tried[60] <= 4 * tried[20], tried
